@@ -254,13 +254,13 @@ def label_weights(spark, folder):
     "label_summary",
     with_ctes(
         B, *_LABELS,
-        f"""SELECT label::BIGINT AS label, barrier, count(*) AS n, {r('avg(ret)', 'avg_return')}, {r('avg(abs(ret))', 'avg_abs_return')}
+        f"""SELECT coalesce(label::BIGINT, 0) AS label, coalesce(barrier, 'all') AS barrier, count(*) AS n, {r('avg(ret)', 'avg_return')}, {r('avg(abs(ret))', 'avg_abs_return')}
           FROM lb GROUP BY GROUPING SETS ((label), (barrier), ())""",
         recursive=True,
     ),
 )
 def label_summary(spark, folder):
-    return shown(lab.label_summary(_labels(spark, folder)))
+    return shown(lab.label_summary(_labels(spark, folder)).fillna({"label": 0, "barrier": "all"}))
 
 
 # ---- samples and folds -------------------------------------------------------------------------
@@ -378,9 +378,9 @@ def fold_summary(spark, folder):
     with_ctes(
         B, *_LABELS, _FEATURES, _SAMPLES, _COMPLETE, *fold_ctes(_T1),
         """bd AS (SELECT ticker, fold, max(ts) FILTER (WHERE role = 'train') AS train_end, min(ts) FILTER (WHERE role = 'test') AS test_start,
-          max(ts) FILTER (WHERE role = 'test') AS test_end, date_diff('second', min(ts), max(ts)) / 86400.0 AS days FROM fd GROUP BY 1, 2)""",
+          max(ts) FILTER (WHERE role = 'test') AS test_end, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM fd GROUP BY 1, 2)""",
         """SELECT ticker, fold, least(train_end, test_start - INTERVAL 24 HOUR) AS train_end,
-          make_timestamp(epoch_us(test_end) + floor(days * 0.01 * 86400000000.0)::BIGINT) AS embargo_end FROM bd""",
+          make_timestamp(epoch_us(test_end) + round(span * 0.01)::BIGINT) AS embargo_end FROM bd""",
         recursive=True,
     ),
 )
@@ -389,11 +389,11 @@ def purge_and_embargo_dates(spark, folder):
         F.max(F.when(F.col("role") == "train", F.col("ts"))).alias("train_end"),
         F.min(F.when(F.col("role") == "test", F.col("ts"))).alias("test_start"),
         F.max(F.when(F.col("role") == "test", F.col("ts"))).alias("test_end"),
-        ((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / 86_400.0).alias("days"),
+        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"),
     )
     return bounds.select(
         "ticker",
         F.col("fold").cast("long").alias("fold"),
         splits.purged_train_end(F.col("train_end"), F.col("test_start"), 24).alias("train_end"),
-        splits.embargo_end(F.col("test_end"), F.col("days"), 0.01).alias("embargo_end"),
+        splits.embargo_end(F.col("test_end"), F.col("span"), 0.01).alias("embargo_end"),
     )

@@ -454,8 +454,8 @@ def normalise_all_features(spark, folder):
     """Every listed normaliser over every feature column."""
     base = ind.compute(event_bars(spark, folder), [ind.smooth("sma", "close", 10, "sma")])
     base = base.withColumn("gap", F.col("close") - F.col("sma"))
-    extra = [ind.NORMALISERS[m](f"{c}__{m}", c, 30) for m in ("zscore", "mean_sub") for c in ("sma", "gap")]
-    return shown(ind.compute(base, extra, keep=[*KEY, "sma", "gap"]))
+    base = base.select(*KEY, "pos", "sma", "gap")
+    return shown(ind.normalise(base, ["sma", "gap"], ["zscore", "mean_sub"], 30).drop("pos"))
 
 
 @query("feature_table")

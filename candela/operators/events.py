@@ -5,56 +5,56 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.operators.timeline import BLOCK, Carry, bounded, fold, number
+from candela.operators.timeline import BLOCK, Carry, fold, number
 
 MODES = ("symmetric", "positive", "negative")
 WARMUP = 2_000
 
 
-def log_returns(bars: DataFrame, column: str = "close", keys: Sequence[str] = ("ticker",), block: int = BLOCK) -> DataFrame:
-    """Add ``r``, the log return of ``column``; missing where either value is missing or not positive."""
-    x = F.col(column)
-
-    def stage(f):
-        before = f.lag(x)
-        return {"r": F.when((x > 0) & (before > 0), F.ln(x / before))}
-
-    return bounded(number(bars, keys), [stage], back=1, keys=keys, block=block)
-
-
-def _cusum_step(mode: str):
-    up, down = mode in ("symmetric", "positive"), mode in ("symmetric", "negative")
-
-    def step(k: Carry, x):
-        high, low = k.take([0.0, 0.0])
-        fired = np.zeros(len(x["r"]), dtype="int64")
-        for i, (r, limit) in enumerate(zip(x["r"], x["limit"])):
-            if r != r:
-                continue
-            high, low = max(0.0, high + r), min(0.0, low + r)
-            if up and high > limit:
-                fired[i] = 1
-                high = 0.0
-                low = 0.0 if mode == "symmetric" else low
-            elif down and low < -limit:
-                fired[i] = 1
-                low = 0.0
-                high = 0.0 if mode == "symmetric" else high
-        k.give(high, low)
-        return {"fired": fired}
-
-    return step
-
-
-def _fire(df: DataFrame, mode: str, keys: Sequence[str], block: int) -> DataFrame:
-    """Events of a table with returns ``r`` and per-row ``limit``."""
-    keys = list(keys)
-    slim = df.select(*keys, "ts", "pos", "r", "limit")
-    fired = fold(slim, _cusum_step(mode), {"fired": "long"}, ["r", "limit"], warmup=WARMUP, keys=keys, block=block)
-    return fired.filter("fired = 1").select(*keys, "ts")
+def _returns(k: Carry, x: np.ndarray) -> np.ndarray:
+    """Log returns; missing where either value is missing or not positive."""
+    before = k.lag(x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.log(x / before)
+    return np.where((x > 0) & (before > 0), r, np.nan)
+
+
+def _rolling_std(k: Carry, x: np.ndarray, n: int, at_least: int, missing: float) -> np.ndarray:
+    """Sample deviation of the last n present values, ``missing`` before ``at_least`` of them."""
+    here = ~np.isnan(x)
+    values = pd.Series(k.tail(x[here], n - 1))
+    std = values.rolling(n, min_periods=at_least).std().to_numpy()[n - 1 :]
+    out = np.full(len(x), missing)
+    out[here] = np.where(np.isnan(std), missing, std)
+    return out
+
+
+def _crossings(k: Carry, returns: np.ndarray, limits: np.ndarray, mode: str) -> np.ndarray:
+    """1 where a cumulated sum of returns crosses its limit; the crossing sum (or both) starts again."""
+    up, down, both = mode != "negative", mode != "positive", mode == "symmetric"
+    high, low = k.take([0.0, 0.0])
+    fired = np.zeros(len(returns), dtype="int64")
+    for i, (r, limit) in enumerate(zip(returns.tolist(), limits.tolist())):
+        if r != r:
+            continue
+        high, low = max(0.0, high + r), min(0.0, low + r)
+        if up and high > limit:
+            fired[i], high = 1, 0.0
+            low = 0.0 if both else low
+        elif down and low < -limit:
+            fired[i], low = 1, 0.0
+            high = 0.0 if both else high
+    k.give(high, low)
+    return fired
+
+
+def _walk(bars: DataFrame, step, outputs, column: str, keys: Sequence[str], block: int, tolerance: float = 0.0) -> DataFrame:
+    slim = number(bars, keys).select(*keys, "ts", "pos", column)
+    return fold(slim, step, outputs, [column], warmup=WARMUP, tolerance=tolerance, keys=keys, block=block)
 
 
 def cusum(
@@ -65,22 +65,38 @@ def cusum(
         raise ValueError(f"CUSUM threshold must be positive, got {threshold}")
     if mode not in MODES:
         raise ValueError(f"CUSUM mode must be one of {MODES}, got {mode!r}")
-    return _fire(log_returns(bars, keys=keys, block=block).withColumn("limit", F.lit(float(threshold))), mode, keys, block)
+
+    def step(k: Carry, x):
+        r = _returns(k, x["close"])
+        return {"fired": _crossings(k, r, np.full(len(r), float(threshold)), mode)}
+
+    fired = _walk(bars, step, {"fired": "long"}, "close", keys, block)
+    return fired.filter("fired = 1").select(*keys, "ts")
 
 
-def volatility_limits(
-    bars: DataFrame, lookback: int = 100, column: str = "close", keys: Sequence[str] = ("ticker",), block: int = BLOCK
+def adaptive_cusum_grid(
+    bars: DataFrame,
+    ks: Sequence[float],
+    lookback: int = 100,
+    mode: str = "symmetric",
+    column: str = "close",
+    keys: Sequence[str] = ("ticker",),
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Log returns ``r`` and their rolling std ``sigma`` (0.01 before half a window of returns)."""
-    need = max(1, lookback // 2)
-    rows = log_returns(bars, column, keys, block)
-    # Positions of present returns: the window counts returns, not bars.
-    seen = rows.filter(F.col("r").isNotNull()).drop("pos")
-    seen = number(seen, keys)
-    sigma = lambda f: {
-        "sigma": F.coalesce(f.full(F.stddev_samp("r"), F.col("r"), lookback, need), F.lit(0.01))
-    }
-    return bounded(seen, [sigma], back=lookback - 1, keys=keys, block=block)
+    """Numbered bars with ``fired_0, fired_1, ...``: adaptive CUSUM for every k in one walk.
+
+    The limit is k rolling standard deviations of the returns (0.01 before half a window of returns).
+    """
+    if mode not in MODES:
+        ks = [float("inf")] * len(ks)  # an unknown mode fires nothing
+    ks = [float(v) for v in ks]
+
+    def step(state: Carry, x):
+        r = _returns(state, x[column])
+        sigma = _rolling_std(state, r, lookback, max(1, lookback // 2), 0.01)
+        return {f"fired_{i}": _crossings(state, r, v * sigma, mode) for i, v in enumerate(ks)}
+
+    return _walk(bars, step, {f"fired_{i}": "long" for i in range(len(ks))}, column, keys, block)
 
 
 def adaptive_cusum(
@@ -92,9 +108,9 @@ def adaptive_cusum(
     keys: Sequence[str] = ("ticker",),
     block: int = BLOCK,
 ) -> DataFrame:
-    """CUSUM events with a limit of k rolling standard deviations; an unknown mode fires nothing."""
-    rows = volatility_limits(bars, lookback, column, keys, block).withColumn("limit", F.lit(float(k)) * F.col("sigma"))
-    return _fire(rows, mode, keys, block)
+    """CUSUM events with a limit of k rolling standard deviations."""
+    fired = adaptive_cusum_grid(bars, [k], lookback, mode, column, keys, block)
+    return fired.filter("fired_0 = 1").select(*keys, "ts")
 
 
 def kalman_innovations(
@@ -104,12 +120,13 @@ def kalman_innovations(
     keys: Sequence[str] = ("ticker",),
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add ``innovation``: the close minus a one-dimensional Kalman level estimated from earlier closes."""
+    """Bars with ``innovation``, the close minus a one-dimensional Kalman level estimated from earlier
+    closes, and ``spread``, its rolling deviation (50 bars, at least 10, else 1)."""
 
     def step(state: Carry, x):
         level, variance = state.take([np.nan, 1.0])
         out = np.full(len(x["close"]), np.nan)
-        for i, z in enumerate(x["close"]):
+        for i, z in enumerate(x["close"].tolist()):
             if level != level:
                 level = z
                 continue
@@ -119,10 +136,10 @@ def kalman_innovations(
             level += gain * out[i]
             variance *= 1.0 - gain
         state.give(level, variance)
-        return {"innovation": out}
+        return {"innovation": out, "spread": _rolling_std(state, out, 50, 10, 1.0)}
 
-    slim = number(bars, keys).select(*keys, "ts", "pos", "close")
-    return fold(slim, step, {"innovation": "double"}, ["close"], warmup=WARMUP, tolerance=1e-13, keys=keys, block=block)
+    outputs = {"innovation": "double", "spread": "double"}
+    return _walk(bars, step, outputs, "close", keys, block, tolerance=1e-12)
 
 
 def kalman(
@@ -133,12 +150,9 @@ def kalman(
     keys: Sequence[str] = ("ticker",),
     block: int = BLOCK,
 ) -> DataFrame:
-    """Bars whose innovation exceeds ``threshold_std`` rolling deviations (50 bars, at least 10)."""
+    """Bars whose innovation exceeds ``threshold_std`` rolling deviations."""
     rows = kalman_innovations(bars, process_noise, measurement_noise, keys, block)
-    x = F.col("innovation")
-    spread = lambda f: {"spread": F.coalesce(f.full(F.stddev_samp(x), x, 50, 10), F.lit(1.0))}
-    rows = bounded(rows, [spread], back=49, keys=keys, block=block)
-    return rows.filter(F.abs(x) > F.lit(float(threshold_std)) * F.col("spread")).select(*keys, "ts")
+    return rows.filter(F.abs("innovation") > F.lit(float(threshold_std)) * F.col("spread")).select(*keys, "ts")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

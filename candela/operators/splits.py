@@ -83,8 +83,6 @@ def purged_train_end(train_end: Column, test_start: Column, barrier_hours: int)
     return F.least(train_end, test_start - F.expr(f"INTERVAL {barrier_hours} HOURS"))
 
 
-def embargo_end(test_end: Column, total_days: Column, share: float) -> Column:
+def embargo_end(test_end: Column, total_micros: Column, share: float) -> Column:
     """End of the quiet time after a test: ``share`` of the whole span."""
-    return F.timestamp_micros(
-        (F.unix_micros(test_end) + F.floor(total_days * F.lit(share * 86_400_000_000.0))).cast("long")
-    )
+    return F.timestamp_micros(F.unix_micros(test_end) + F.round(total_micros * F.lit(share)).cast("long"))

@@ -205,6 +205,12 @@ class Carry:
         self.give(x[-1] if len(x) else before)
         return np.concatenate([[before], x[:-1]]) if len(x) else x
 
+    def tail(self, x: np.ndarray, n: int) -> np.ndarray:
+        """``x`` with the n values before it in front (missing before the series starts)."""
+        joined = np.concatenate([self.take([np.nan] * n), x])
+        self.give(*joined[len(joined) - n :])
+        return joined
+
     def ewm(self, x: np.ndarray, alpha: float, at_least: int, std: bool = False) -> np.ndarray:
         """Exponentially weighted mean (or sample std) with weights (1-alpha)^age over all earlier rows.
 
@@ -219,7 +225,7 @@ class Carry:
         for lo in range(0, len(x), stretch):
             part = x[lo : lo + stretch]
             here = ~np.isnan(part)
-            centre = mean if weight > 0 else (part[here][0] if here.any() else 0.0)
+            centre = mean if seen > 0 else (part[here][0] if here.any() else 0.0)
             d = np.where(here, part - centre, 0.0)
             fade = q ** np.arange(1, len(part) + 1, dtype=float)
             # Weight of a row relative to the row it is seen from is fade[row] * rise[age].
@@ -297,7 +303,7 @@ def fold(
         pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
         own = pdf[pdf["own"]].reset_index(drop=True)
         if own.empty:
-            return pd.DataFrame({n: [] for n in schema.fieldNames()})
+            return pd.DataFrame()
         start = None
         ahead = pdf[~pdf["own"]]
         if len(ahead):

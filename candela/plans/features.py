@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from candela.functions.scalars import finite, timeframe_minutes
 from candela.operators import indicators as ind
 from candela.operators.timeline import BLOCK, number
+from candela.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def build_features(
 
     Each bar column is brought to a timeframe once and shared by all indicators of that timeframe.
     """
-    out = number(bars)
+    out = checkpointed(number(bars))
     valid = [tf for tf in timeframes if timeframe_minutes(tf) >= base_minutes]
     names = list(indicators) or list(REGISTRY)
     needed = {c for n in names if n in REGISTRY for c in REGISTRY[n].inputs} | {"close"}
@@ -122,6 +123,9 @@ def build_features(
         if timeframe_minutes(tf) > base_minutes:
             wanted = {f"{c}@{tf}": (c, ind.HOLD_AGG[c]) for c in sorted(needed)}
             out = ind.hold(out, base_minutes, timeframe_minutes(tf), wanted, mode, block=block)
+    if any(timeframe_minutes(tf) > base_minutes for tf in valid):
+        # Read several times below; filling bins forward is a chain of shuffles worth doing once.
+        out = checkpointed(out)
     built, features = plan_indicators(names, valid, base_minutes, params or {})
     for tf in valid:
         span = max(1, timeframe_minutes(tf) // base_minutes)
@@ -135,12 +139,8 @@ def build_features(
         out = ind.compute(out, extra, block=block)
         features = out.columns[len(keys):]
     if normalize:
-        window = normalize.get("window", 100)
-        methods = [m for m in normalize.get("methods", []) if m in ind.NORMALISERS]
-        extra = [ind.NORMALISERS[m](f"{c}__{m}", c, window) for m in methods for c in features]
-        if extra:
-            out = ind.compute(out, extra, block=block)
-            features = out.columns[len(keys):]
+        out = ind.normalise(out, features, normalize.get("methods", []), normalize.get("window", 100), block)
+        features = out.columns[len(keys):]
     if subset:
         features = choose_names(features, subset.get("include", ()), subset.get("exclude", ()))
         out = out.select(*keys, *features)
@@ -185,3 +185,10 @@ def drop_sparse(df: DataFrame, columns: Sequence[str], threshold: float = 0.5) -
     """Drop columns whose missing share is above ``threshold``."""
     shares = _shares(df, columns)
     return df.drop(*[c for c in columns if shares[c] > threshold])
+
+
+def parameter_table(spark, params: dict[str, list]) -> DataFrame:
+    """The grid as a table, one row per combination; its size is fixed by the given lists."""
+    names = list(params)
+    rows = [tuple(combo[n] for n in names) for combo in choices(params)]
+    return spark.createDataFrame(rows, names)
