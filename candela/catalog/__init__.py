@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from candela.catalog import bars, evaluation, events, indicators  # noqa: F401
+from candela.catalog import bars, evaluation, events, indicators, portfolio, report  # noqa: F401
 from candela.catalog.base import QUERIES, SQL
 
 flagship = QUERIES["willr"]

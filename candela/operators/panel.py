@@ -11,12 +11,18 @@ from candela.operators.timeline import BLOCK, bounded, number, running
 
 
 def align_panel(bars: DataFrame, columns: Sequence[str] = ("close",), block: int = BLOCK) -> DataFrame:
-    """Every ticker at every time any ticker has, gaps filled forward (missing before a ticker starts)."""
+    """Every ticker at every time any ticker has, gaps filled forward (missing before a ticker starts).
+
+    ``seen`` is the time of the bar a row's values come from.
+    """
     clock = bars.select("ts").distinct()
     tickers = bars.select("ticker").distinct()
-    grid = clock.crossJoin(tickers).join(bars.select("ticker", "ts", *columns), ["ticker", "ts"], "left")
-    filled = running(number(grid), {f"_f_{c}": ("last", F.col(c)) for c in columns}, block=block)
-    return filled.select("ticker", "ts", "pos", *[F.col(f"_f_{c}").alias(c) for c in columns])
+    grid = clock.crossJoin(tickers).join(
+        bars.select("ticker", "ts", *columns, F.col("ts").alias("_at")), ["ticker", "ts"], "left"
+    )
+    fills = {f"_f_{c}": ("last", F.col(c)) for c in columns} | {"seen": ("last", F.col("_at"))}
+    filled = running(number(grid), fills, block=block)
+    return filled.select("ticker", "ts", "pos", "seen", *[F.col(f"_f_{c}").alias(c) for c in columns])
 
 
 def daily_last(panel: DataFrame, value: str = "close") -> DataFrame:
@@ -46,23 +52,53 @@ def latest_on_day(signals: DataFrame, days: DataFrame, values: Sequence[str]) ->
     return out.select("ticker", "date", *[F.col(f"_s.{v}").alias(v) for v in values])
 
 
-def trailing_slices(prices: DataFrame, days: DataFrame, span_days: int = 365, at_least: int = 30) -> DataFrame:
-    """``date, ticker, ts, close`` for the prices in ``[date - span, date]`` of each day.
+def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, until=None) -> DataFrame:
+    """``date`` with the panel rows in ``[date - span, date]`` (and before ``until``).
 
-    Days and prices meet on (month-long) time buckets: each price goes to the buckets of the days that can
-    see it, so the join is an equi-join and one bucket is one month of one ticker's prices.
+    Days and rows meet on 30-day buckets of time, so the join is an equi-join. The calendar side is
+    one row per day and bucket, a size set by the calendar and small enough for Spark to broadcast.
     """
     width = 30
-    day_number = lambda c: F.unix_date(c)
+    bucket = lambda days_since: F.floor(days_since / F.lit(width))
     d = days.select("date").distinct().withColumn(
         "_bucket",
-        F.explode(F.sequence(F.floor((day_number(F.col("date")) - span_days) / F.lit(width)), F.floor(day_number(F.col("date")) / F.lit(width)))),
+        F.explode(F.sequence(bucket(F.unix_date("date") - span_days), bucket(F.unix_date("date")))),
+    )
+    rows = panel if until is None else panel.filter(F.col("ts") < F.lit(until))
+    rows = rows.withColumn("_bucket", bucket(F.unix_date(F.to_date("ts"))))
+    start = F.col("date").cast("timestamp") - F.expr(f"INTERVAL {span_days * 24} HOURS")
+    return (
+        rows.join(d, "_bucket")
+        .withColumn("_start", start)
+        .filter((F.col("ts") >= F.col("_start")) & (F.col("ts") <= F.col("date").cast("timestamp")))
+        .drop("_bucket")
+    )
+
+
+def window_returns(
+    bars: DataFrame, days: DataFrame, span_days: int = 365, at_least: int = 30, until=None, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """Returns in the trailing window of each day, and the number of price rows in it.
+
+    A window holds the tickers with at least ``at_least`` own bars in it. Gaps are filled forward inside
+    the window only, and a time counts when every ticker of the window has a return there.
+    """
+    change = lambda f: {"ret": F.try_divide(F.col("close"), f.lag("close")) - 1, "_before": f.lag("seen")}
+    panel = bounded(align_panel(bars, block=block), [change], back=1, block=block)
+    rows = trailing_slices(panel, days, span_days, until)
+    own = rows.groupBy("date", "ticker").agg(F.count_if(F.col("seen") == F.col("ts")).alias("_own"))
+    tickers = own.filter(F.col("_own") >= at_least).select("date", "ticker")
+    sizes = tickers.groupBy("date").agg(F.count(F.lit(1)).alias("n_tickers"))
+    rows = rows.join(tickers, ["date", "ticker"])
+    valid = F.col("ret").isNotNull() & (F.col("_before") >= F.col("_start"))
+    times = rows.groupBy("date", "ts").agg(
+        F.count_if(valid).alias("_valid"), F.count_if(F.col("seen") >= F.col("_start")).alias("_priced")
     )
-    p = prices.withColumn("_bucket", F.floor(day_number(F.to_date("ts")) / F.lit(width)))
-    start = F.col("date").cast("timestamp") - F.expr(f"INTERVAL {span_days} DAYS")
-    pairs = p.join(d, "_bucket").filter((F.col("ts") >= start) & (F.col("ts") <= F.col("date").cast("timestamp"))).drop("_bucket")
-    enough = pairs.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least)
-    return pairs.join(enough.select("date", "ticker"), ["date", "ticker"], "left_semi")
+    times = times.join(sizes, "date")
+    price_rows = times.filter(F.col("_priced") > 0).groupBy("date", "n_tickers").agg(F.count(F.lit(1)).alias("price_rows"))
+    complete = times.filter(F.col("_valid") == F.col("n_tickers")).select("date", "ts")
+    returns = rows.filter(valid).join(complete, ["date", "ts"], "left_semi").select("date", "ts", "ticker", "ret")
+    return returns, price_rows
 
 
 def spread_weights(weights: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:
