@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.catalog.base import B, D, query, r, shown, with_ctes
 from candela.catalog.evaluation import R, daily_returns
-from candela.operators import cleaning, metrics, panel, portfolio
+from candela.operators import panel, portfolio
 from candela.operators.timeline import number
 from candela.plans import backtest
 from candela.session import checkpointed
@@ -30,9 +30,9 @@ S = "sig AS (SELECT ticker, ts, round(0.5 + 0.5 * coalesce((close - open) / null
 
 # Clock panel, returns, trailing windows of each day, and the complete rows in them.
 W = """sp AS (SELECT DISTINCT ts FROM d), tk AS (SELECT DISTINCT ticker FROM d),
-g AS (SELECT tk.ticker, sp.ts, close, d.ts AS at FROM sp CROSS JOIN tk LEFT JOIN d ON d.ticker = tk.ticker AND d.ts = sp.ts),
+g AS (SELECT tk.ticker, sp.ts, close, d.ts AS obs FROM sp CROSS JOIN tk LEFT JOIN d ON d.ticker = tk.ticker AND d.ts = sp.ts),
 pn AS (SELECT ticker, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts) AS close,
-  last_value(at IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts) AS seen FROM g),
+  last_value(obs IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts) AS seen FROM g),
 pr AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY ts) - 1 AS ret, lag(seen) OVER (PARTITION BY ticker ORDER BY ts) AS bef FROM pn),
 sl AS (SELECT x.ts AS date, pr.*, x.ts - INTERVAL 365 DAY AS st FROM sp x JOIN pr ON pr.ts BETWEEN x.ts - INTERVAL 365 DAY AND x.ts),
 ow AS (SELECT date, ticker FROM sl GROUP BY 1, 2 HAVING count(*) FILTER (WHERE seen = ts) >= 30),
@@ -54,8 +54,7 @@ rg AS (SELECT px.date, price_rows, n_tickers, mean_return, vol_ratio, coalesce(m
 
 def windows(spark, folder):
     bars = number(trade_bars(spark, folder), step=DAY)
-    returns, price_rows = panel.window_returns(bars, days_of(bars))
-    return checkpointed(returns), price_rows
+    return panel.window_returns(bars, days_of(bars))
 
 
 @query("latest_signal_per_day", with_ctes(
@@ -72,7 +71,7 @@ def latest_signal_per_day(spark, folder):
 
 @query("trailing_year_slices", with_ctes(D, W, f"SELECT date::DATE AS date, ticker, count(*) AS n, {r('stddev_samp(ret)', 'volatility')} FROM wr GROUP BY 1, 2"))
 def trailing_year_slices(spark, folder):
-    returns, _ = windows(spark, folder)
+    returns = panel.unpacked(windows(spark, folder)[0])
     return shown(returns.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("ret").alias("volatility")))
 
 
@@ -170,8 +169,7 @@ def threshold_rebalance_walk(spark, folder):
       CASE WHEN regime = 'bull' THEN 'Kelly' WHEN regime IN ('bear', 'crisis') THEN 'HRP' ELSE 'Black-Litterman' END AS optimizer FROM rg""",
 ))
 def market_regime(spark, folder):
-    returns, price_rows = windows(spark, folder)
-    facts = portfolio.regime(portfolio.regime_facts(returns, price_rows))
+    facts = portfolio.regime(portfolio.regime_facts(*windows(spark, folder)))
     return shown(facts.withColumn("optimizer", portfolio.optimizer_for("regime")), 5)
 
 
@@ -201,16 +199,15 @@ def capped_weights(spark, folder):
     OUT.format(c="::DATE", t="d") + " WHERE date IN (SELECT date FROM ok)", recursive=True,
 ))
 def kelly_weights(spark, folder):
-    returns, _ = windows(spark, folder)
-    strength = panel.latest_on_day(signals(spark, folder), returns.select("date").distinct(), ["signal_strength"])
+    returns = panel.unpacked(windows(spark, folder)[0])
+    strength = panel.latest_on_day(signals(spark, folder), days_of(trade_bars(spark, folder)), ["signal_strength"])
     return shown(portfolio.kelly_weights(returns, strength.withColumnRenamed("signal_strength", "strength"), cap=0.45), 5)
 
 
 def _moments(spark, folder):
-    returns, _ = windows(spark, folder)
-    strength = panel.latest_on_day(signals(spark, folder), returns.select("date").distinct(), ["signal_strength"])
-    strength = strength.withColumnRenamed("signal_strength", "strength")
-    return metrics.pair_moments(returns, ["date"]), strength
+    rows, _ = windows(spark, folder)
+    strength = panel.latest_on_day(signals(spark, folder), days_of(trade_bars(spark, folder)), ["signal_strength"])
+    return panel.cell_moments(rows), strength.withColumnRenamed("signal_strength", "strength")
 
 
 @query("hrp_weights")
@@ -226,17 +223,18 @@ def black_litterman_weights(spark, folder):
 @query("mean_variance_weights")
 def mean_variance_weights(spark, folder):
     """Mean-variance weights of each trailing year, starting from equal weights."""
-    returns, _ = windows(spark, folder)
-    means = returns.groupBy("date", "ticker").agg(F.avg("ret").alias("mu")).withColumn("previous", F.lit(1.0 / 3.0))
-    return portfolio.mean_variance_weights(metrics.pair_moments(returns, ["date"]), means)
+    rows, _ = windows(spark, folder)
+    means = panel.unpacked(rows).groupBy("date", "ticker").agg(F.avg("ret").alias("mu")).withColumn("previous", F.lit(1.0 / 3.0))
+    return portfolio.mean_variance_weights(panel.cell_moments(rows), means)
 
 
 @query("risk_parity_weights")
 def risk_parity_weights(spark, folder):
     """Hierarchical risk parity on log returns of each trailing year, without tilt or cap."""
-    returns, _ = windows(spark, folder)
-    logs = returns.withColumn("ret", F.ln(1 + F.col("ret")))
-    return portfolio.plain_hrp_weights(metrics.pair_moments(logs, ["date"]), logs.select("date", "ticker").distinct(), linkage="average")
+    rows, _ = windows(spark, folder)
+    logs = F.transform("cells", lambda c: F.struct(c["ticker"].alias("ticker"), F.ln(1 + c["ret"]).alias("ret")))
+    moments = panel.cell_moments(rows.withColumn("cells", logs))
+    return portfolio.plain_hrp_weights(moments, moments.select("date", F.col("a").alias("ticker")).distinct(), linkage="average")
 
 
 def _engine_signals(spark, folder):
@@ -261,9 +259,9 @@ def money_allocation(spark, folder):
 # Weights on every seventh day only, so that the days between keep the last ones.
 _PANEL_DAILY = """sp AS (SELECT DISTINCT ts FROM b), tk AS (SELECT DISTINCT ticker FROM b),
 g AS (SELECT tk.ticker, sp.ts, last_value(close IGNORE NULLS) OVER (PARTITION BY tk.ticker ORDER BY sp.ts) AS close FROM sp CROSS JOIN tk LEFT JOIN b ON b.ticker = tk.ticker AND b.ts = sp.ts),
-dl AS (SELECT ticker, ts::DATE AS date, arg_max(close, ts) AS close FROM g WHERE close IS NOT NULL GROUP BY 1, 2),
+dl AS (SELECT ticker, ts::DATE AS date, arg_max(close, ts) + 5000 AS close FROM g WHERE close IS NOT NULL GROUP BY 1, 2),
 dr AS (SELECT *, (coalesce(close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1, 0)) AS ret FROM dl)"""
-_ACCOUNT = """sd AS (SELECT date, ticker, close / sum(close) OVER (PARTITION BY date) AS weight FROM dl WHERE ticker <> 'view' AND day(date) % 7 = 0),
+_ACCOUNT = """sd AS (SELECT date, ticker, (close - 5000) / sum(close - 5000) OVER (PARTITION BY date) AS weight FROM dl WHERE ticker <> 'view' AND day(date) % 7 = 0),
 dy AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM dr)),
 us AS (SELECT dy.date, nd, max(s.date) AS wd FROM dy LEFT JOIN (SELECT DISTINCT date FROM sd) s ON s.date <= dy.date GROUP BY 1, 2),
 hw AS (SELECT us.date, nd, wd, t.ticker, CASE WHEN wd IS NULL THEN 0.2 ELSE coalesce(sd.weight, 0) END AS w FROM us CROSS JOIN (SELECT DISTINCT ticker FROM dl) t LEFT JOIN sd ON sd.date = wd AND sd.ticker = t.ticker),
@@ -273,16 +271,18 @@ ac AS (SELECT date, wd, round(1000 * exp(sum(ln(1 + p)) OVER (ORDER BY date)), 4
 
 
 def results(spark, folder, commission_bps: float = 0.0):
-    """Daily results from simple weights: every seventh day in proportion to the close."""
+    """Daily results from simple weights: every seventh day in proportion to the close; prices are
+    lifted by 5000 so that compounding stays in range."""
     bars = number(event_bars(spark, folder))
-    prices = panel.daily_last(panel.align_panel(bars)).filter("close IS NOT NULL")
-    weights = price_weights(prices.filter("day(date) % 7 = 0"))
+    prices = checkpointed(panel.daily_last(panel.align_panel(bars)).filter("close IS NOT NULL"))
+    weights = price_weights(prices.filter("day(date) % 7 = 0")).withColumn("profile", F.lit("mid"))
     even = F.dayofmonth("date") % 2 == 0
     states = weights.select("date").distinct().select(
         "date", F.when(even, "bull").otherwise("bear").alias("regime"), F.when(even, "Kelly").otherwise("HRP").alias("optimizer")
     )
     sure = prices.groupBy("date").agg(F.least(F.max("close") / 1_000.0, F.lit(1.0)).alias("confidence"))
-    return backtest.account(weights, states, bars, sure, commission_bps=commission_bps)
+    lifted = bars.withColumn("close", F.col("close") + 5_000)
+    return backtest.account(weights, states, lifted, sure, commission_bps=commission_bps)
 
 
 @query("daily_accounting", with_ctes(B, _PANEL_DAILY, _ACCOUNT, "SELECT date, portfolio_value + 0.0 AS portfolio_value, benchmark_value + 0.0 AS benchmark_value, regime, optimizer FROM ac"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.operators.timeline import BLOCK, bounded, number, running
+from candela.session import checkpointed
 
 
 def align_panel(bars: DataFrame, columns: Sequence[str] = ("close",), block: int = BLOCK) -> DataFrame:
@@ -78,27 +79,45 @@ def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, unt
 def window_returns(
     bars: DataFrame, days: DataFrame, span_days: int = 365, at_least: int = 30, until=None, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
-    """Returns in the trailing window of each day, and the number of price rows in it.
+    """``date, ts, cells`` for the trailing window of each day, and the number of price rows in it.
 
-    A window holds the tickers with at least ``at_least`` own bars in it. Gaps are filled forward inside
-    the window only, and a time counts when every ticker of the window has a return there.
+    ``cells`` holds one (ticker, ret) per ticker of the window: those with at least ``at_least`` own bars
+    in it. Gaps are filled forward inside the window only, and a time counts when every ticker of the
+    window has a return there. A time is one row with an array of tickers, so the many (day, time) pairs
+    are filtered and aggregated where the join makes them and are not shuffled themselves.
     """
-    change = lambda f: {"ret": F.try_divide(F.col("close"), f.lag("close")) - 1, "_before": f.lag("seen")}
+    change = lambda f: {"ret": F.try_divide(F.col("close"), f.lag("close")) - 1, "before": f.lag("seen")}
     panel = bounded(align_panel(bars, block=block), [change], back=1, block=block)
-    rows = trailing_slices(panel, days, span_days, until)
-    own = rows.groupBy("date", "ticker").agg(F.count_if(F.col("seen") == F.col("ts")).alias("_own"))
-    tickers = own.filter(F.col("_own") >= at_least).select("date", "ticker")
-    sizes = tickers.groupBy("date").agg(F.count(F.lit(1)).alias("n_tickers"))
-    rows = rows.join(tickers, ["date", "ticker"])
-    valid = F.col("ret").isNotNull() & (F.col("_before") >= F.col("_start"))
-    times = rows.groupBy("date", "ts").agg(
-        F.count_if(valid).alias("_valid"), F.count_if(F.col("seen") >= F.col("_start")).alias("_priced")
+    cell = F.struct("ticker", "ret", "before", "seen", (F.col("seen") == F.col("ts")).alias("own"))
+    clock = panel.filter(F.col("seen").isNotNull()).groupBy("ts").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    rows = trailing_slices(checkpointed(clock), days, span_days, until)
+    own = rows.select("date", F.explode(F.filter("cells", lambda c: c["own"])).alias("_c")).select("date", "_c.ticker")
+    enough = own.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least)
+    held = enough.groupBy("date").agg(F.collect_set("ticker").alias("_held"))
+    rows = rows.join(held, "date").withColumn("cells", F.filter("cells", lambda c: F.array_contains("_held", c["ticker"])))
+    n = F.size("_held")
+    priced = F.exists("cells", lambda c: c["seen"] >= F.col("_start"))
+    price_rows = rows.filter(priced).groupBy("date", n.alias("n_tickers")).agg(F.count(F.lit(1)).alias("price_rows"))
+    valid = F.filter("cells", lambda c: c["ret"].isNotNull() & (c["before"] >= F.col("_start")))
+    complete = rows.withColumn("cells", valid).filter(F.size("cells") == n)
+    slim = F.transform("cells", lambda c: F.struct(c["ticker"].alias("ticker"), c["ret"].alias("ret")))
+    return complete.select("date", "ts", slim.alias("cells")), price_rows
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """One row per ticker: ``date, ts, ticker, ret``."""
+    return rows.select("date", "ts", F.explode("cells").alias("_c")).select("date", "ts", "_c.*")
+
+
+def cell_moments(rows: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
+    """Covariance and correlation of every ordered pair of tickers per group of packed rows."""
+    a = rows.select(*keys, "cells", F.explode("cells").alias("_a"))
+    both = a.select(*keys, "_a", F.explode("cells").alias("_b"))
+    x, y = F.col("_a.ret"), F.col("_b.ret")
+    cov = F.covar_samp(x, y)
+    return both.groupBy(*keys, F.col("_a.ticker").alias("a"), F.col("_b.ticker").alias("b")).agg(
+        cov.alias("cov"), F.try_divide(cov, F.stddev_samp(x) * F.stddev_samp(y)).alias("corr")
     )
-    times = times.join(sizes, "date")
-    price_rows = times.filter(F.col("_priced") > 0).groupBy("date", "n_tickers").agg(F.count(F.lit(1)).alias("price_rows"))
-    complete = times.filter(F.col("_valid") == F.col("n_tickers")).select("date", "ts")
-    returns = rows.filter(valid).join(complete, ["date", "ts"], "left_semi").select("date", "ts", "ticker", "ret")
-    return returns, price_rows
 
 
 def spread_weights(weights: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -23,81 +23,90 @@ class Profile:
     tau: float = 0.05
 
 
-def daily_weights(bars: DataFrame, signals: DataFrame, days: DataFrame, profile: Profile, until=None) -> DataFrame:
-    """Weights for the days with enough history and signals: ``date, regime, optimizer, ticker, weight``.
+def daily_weights(bars: DataFrame, signals: DataFrame, days: DataFrame, profiles: Sequence[Profile], until=None) -> DataFrame:
+    """Weights for the days with enough history and signals: ``profile, date, regime, optimizer, ticker, weight``.
 
-    ``signals(date, ticker, strength)`` holds the latest signal known on each day.
+    ``signals(date, ticker, strength)`` holds the latest signal known on each day. Windows, regimes and
+    moments do not depend on the profile and are made once.
     """
-    returns, price_rows = panel.window_returns(bars, days, until=until)
-    returns, price_rows = checkpointed(returns), checkpointed(price_rows)
+    rows, price_rows = panel.window_returns(bars, days, until=until)
     known = signals.groupBy("date").agg(F.count(F.lit(1)).alias("_known"))
     ready = price_rows.filter((F.col("n_tickers") >= 2) & (F.col("price_rows") >= 30)).join(
         known.filter(F.col("_known") >= 2).select("date"), "date", "left_semi"
     )
-    states = portfolio.regime(portfolio.regime_facts(returns, ready))
+    states = portfolio.regime(portfolio.regime_facts(rows, ready))
     states = checkpointed(states.select("date", "regime", portfolio.optimizer_for("regime").alias("optimizer")))
-    for_days = lambda df, name: df.join(states.filter(F.col("optimizer") == name).select("date"), "date", "left_semi")
+    of = lambda df, name: df.join(states.filter(F.col("optimizer") == name).select("date"), "date", "left_semi")
+    kelly = checkpointed(portfolio.kelly_facts(panel.unpacked(of(rows, "Kelly"))))
+    others = rows.join(states.filter("optimizer <> 'Kelly'").select("date"), "date", "left_semi")
+    moments = checkpointed(panel.cell_moments(others))
     # A ticker of the window without a signal counts as a neutral one.
-    held = returns.select("date", "ticker").distinct().join(signals, ["date", "ticker"], "left")
-    held = held.select("date", "ticker", F.coalesce("strength", F.lit(0.0)).alias("strength"))
-    moments = metrics.pair_moments(returns.join(states.filter("optimizer <> 'Kelly'"), "date", "left_semi"), ["date"])
-    moments = checkpointed(moments)
-    c, cap = profile.confidence, profile.cap
-    weights = (
-        portfolio.kelly_weights(for_days(returns, "Kelly"), held, c, cap)
-        .unionByName(portfolio.hrp_weights(for_days(moments, "HRP"), held, confidence=c, cap=cap))
-        .unionByName(
+    held = kelly.select("date", "ticker").unionByName(moments.select("date", F.col("a").alias("ticker")).distinct())
+    held = held.join(signals, ["date", "ticker"], "left").select("date", "ticker", F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    held = checkpointed(held)
+    out = None
+    for p in profiles:
+        parts = [
+            portfolio.kelly_from_facts(kelly, held, p.confidence, p.cap),
+            portfolio.hrp_weights(of(moments, "HRP"), held, confidence=p.confidence, cap=p.cap),
             portfolio.black_litterman_weights(
-                for_days(moments, "Black-Litterman"), held, confidence=c, cap=cap, delta=profile.delta, tau=profile.tau
-            )
-        )
-    )
-    return states.join(weights, "date")
+                of(moments, "Black-Litterman"), held, confidence=p.confidence, cap=p.cap, delta=p.delta, tau=p.tau
+            ),
+        ]
+        for part in parts:
+            part = part.withColumn("profile", F.lit(p.name))
+            out = part if out is None else out.unionByName(part)
+    return states.join(out, "date")
 
 
 def account(
     weights: DataFrame, states: DataFrame, bars: DataFrame, confidence: DataFrame, capital: float = 1_000.0, commission_bps: float = 0.0
 ) -> DataFrame:
-    """The daily result table from weights ``(date, ticker, weight)`` of some days.
+    """The daily result table from weights ``(profile, date, ticker, weight)`` of some days.
 
     Days without weights of their own keep the last ones (equal weights at the start); each day earns the
     next trading day's returns.
     """
-    aligned = panel.align_panel(bars)
-    daily = panel.daily_returns(panel.daily_last(aligned))
+    daily = checkpointed(panel.daily_returns(panel.daily_last(panel.align_panel(bars))))
     universe = daily.select("ticker").distinct()
     days = daily.select("date").distinct()
-    full = panel.spread_weights(weights, universe, ["date"])
-    sets = full.groupBy("date").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "weight")))).alias("_w"))
+    profiles = weights.select("profile").distinct()
+    full = panel.spread_weights(weights, universe, ["profile", "date"])
+    sets = full.groupBy("profile", "date").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "weight")))).alias("_w")
+    )
     n = universe.agg(F.sort_array(F.collect_set("ticker")).alias("_t"))
     equal = F.map_from_arrays("_t", F.transform("_t", lambda _: F.lit(1.0) / F.size("_t")))
-    # One row per day from here on: the calendar's length.
-    order = Window.orderBy("date")
+    # One row per profile and day from here on: the calendar's length.
+    order = Window.partitionBy("profile").orderBy("date")
     marked = sets.join(states, "date", "left")
-    calendar = days.join(marked, "date", "full").join(confidence, "date", "left").crossJoin(F.broadcast(n))
+    calendar = days.withColumn("_open", F.lit(True)).crossJoin(profiles).join(marked, ["profile", "date"], "full")
+    calendar = calendar.join(confidence, "date", "left").crossJoin(F.broadcast(n))
     held = calendar.select(
+        "profile",
         "date",
+        "_open",
         F.coalesce(F.last("_w", ignorenulls=True).over(order), equal).alias("held"),
         F.coalesce(F.last("regime", ignorenulls=True).over(order), F.lit("neutral")).alias("regime"),
         F.coalesce(F.last("optimizer", ignorenulls=True).over(order), F.lit("Black-Litterman")).alias("optimizer"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
         equal.alias("equal"),
-    ).join(days, "date", "left_semi")
+    ).filter("_open")
     before = F.lag("held").over(order)
+    held = held.withColumns({"_before": F.coalesce(before, F.col("held")), "_next": F.lead("date").over(order)})
     turnover = F.aggregate(
-        F.map_values(F.map_zip_with("held", F.coalesce(before, F.col("held")), lambda _, a, b: F.abs(a - b))),
-        F.lit(0.0),
-        lambda s, x: s + x,
+        F.map_values(F.map_zip_with("held", "_before", lambda _, a, b: F.abs(a - b))), F.lit(0.0), lambda s, x: s + x
     )
-    held = held.withColumn("_cost", turnover * (commission_bps / 10_000.0)).withColumn("_next", F.lead("date").over(order))
-    held = held.filter(F.col("_next").isNotNull())
     rets = daily.groupBy(F.col("date").alias("_next")).agg(F.map_from_entries(F.collect_list(F.struct("ticker", "ret"))).alias("_r"))
     earned = lambda w: F.aggregate(
         F.map_values(F.map_zip_with(w, "_r", lambda _, a, b: F.coalesce(a * b, F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x
     )
-    table = held.join(rets, "_next").withColumns({"_p": earned("held") - F.col("_cost"), "_b": earned("equal")})
+    table = held.join(rets, "_next").withColumns(
+        {"_p": earned("held") - turnover * (commission_bps / 10_000.0), "_b": earned("equal")}
+    )
     grown = lambda c: F.round(F.lit(float(capital)) * F.product(1 + F.col(c)).over(order), 4)
     return table.select(
+        "profile",
         "date",
         grown("_p").alias("portfolio_value"),
         grown("_b").alias("benchmark_value"),
@@ -108,8 +117,10 @@ def account(
     )
 
 
-def backtest(bars: DataFrame, signals: DataFrame, profile: Profile, cutoff=None, capital: float = 1_000.0, history_until=None) -> DataFrame:
-    """Daily results of one profile from signals ``(ticker, ts, prob_up, signal_strength)``.
+def run_profiles(
+    bars: DataFrame, signals: DataFrame, profiles: Sequence[Profile], cutoff=None, capital: float = 1_000.0, history_until=None
+) -> DataFrame:
+    """Daily results of all profiles from signals ``(ticker, ts, prob_up, signal_strength)``.
 
     ``cutoff`` is the first day traded; ``history_until`` ends the prices that weights may use.
     """
@@ -117,11 +128,10 @@ def backtest(bars: DataFrame, signals: DataFrame, profile: Profile, cutoff=None,
     days = traded.select(F.to_date("ts").alias("date")).distinct()
     latest = checkpointed(panel.latest_on_day(signals, days, ["prob_up", "signal_strength"]))
     strength = latest.select("date", "ticker", F.col("signal_strength").alias("strength"))
-    confidence = mean_confidence(latest)
-    chosen = checkpointed(daily_weights(bars, strength, days, profile, history_until))
+    chosen = checkpointed(daily_weights(bars, strength, days, profiles, history_until))
     states = chosen.select("date", "regime", "optimizer").distinct()
-    results = account(chosen.select("date", "ticker", "weight"), states, traded, confidence, capital)
-    return results.withColumn("profile", F.lit(profile.name))
+    weights = chosen.select("profile", "date", "ticker", "weight")
+    return account(weights, states, traded, mean_confidence(latest), capital)
 
 
 def mean_confidence(latest: DataFrame) -> DataFrame:
@@ -130,15 +140,6 @@ def mean_confidence(latest: DataFrame) -> DataFrame:
     return latest.groupBy("date").agg(F.avg(clipped).alias("confidence"))
 
 
-def run_profiles(bars: DataFrame, signals: DataFrame, profiles: Sequence[Profile], cutoff=None, capital: float = 1_000.0) -> DataFrame:
-    """Daily results of several profiles in one table."""
-    out = None
-    for profile in profiles:
-        part = backtest(bars, signals, profile, cutoff, capital)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 # ---- second engine -----------------------------------------------------------------------------
 
 # Risk aversion, lookback rows and rebalance threshold by risk profile.
