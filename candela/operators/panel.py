@@ -90,7 +90,9 @@ def window_returns(
     panel = bounded(align_panel(bars, block=block), [change], back=1, block=block)
     cell = F.struct("ticker", "ret", "before", "seen", (F.col("seen") == F.col("ts")).alias("own"))
     clock = panel.filter(F.col("seen").isNotNull()).groupBy("ts").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    rows = trailing_slices(checkpointed(clock), days, span_days, until)
+    # Each time meets up to span_days days below, so even a short clock is spread over all cores first.
+    cores = bars.sparkSession.sparkContext.defaultParallelism
+    rows = trailing_slices(checkpointed(clock.repartition(cores, "ts")), days, span_days, until)
     own = rows.select("date", F.explode(F.filter("cells", lambda c: c["own"])).alias("_c")).select("date", "_c.ticker")
     enough = own.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least)
     held = enough.groupBy("date").agg(F.collect_set("ticker").alias("_held"))
