@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from candela.operators import indicators as ind
 from candela.operators.timeline import number
 from candela.plans import features as plan
 from candela.sources import files, store
+from candela.session import shared_folder
 from candela.sources.ticks import event_bars, trade_bars
 
 ALL = "(PARTITION BY ticker ORDER BY pos)"
@@ -22,10 +23,8 @@ START, END, CUTOFF = datetime(2024, 1, 5), datetime(2024, 1, 20), datetime(2024,
 
 
 def scratch(spark, name: str) -> str:
-    """A folder for files a query writes and reads back: shared on a cluster, temporary in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    local = tempfile.mkdtemp(prefix=f"candela-{name}-") if shared is None else None
-    return local or f"{shared.rstrip('/')}/candela-{name}-{spark.sparkContext.applicationId}"
+    """A new folder for files a query writes and reads back."""
+    return f"{shared_folder(spark)}/candela-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 @query("bars_hourly_from_events", with_ctes(B, f"SELECT {OHLCV} FROM b"))
@@ -303,9 +302,8 @@ def date_ranges_overlap(spark, folder):
     ),
 )
 def parameter_product(spark, folder):
-    """Bars crossed with a small literal grid (the grid is the broadcast side: its size is its text)."""
-    grid = plan.parameter_table(spark, {"period": [5, 10, 20], "mult": [1.5, 2.5]})
-    bars = number(event_bars(spark, folder)).crossJoin(F.broadcast(grid))
+    """Every bar under every parameter combination."""
+    bars = plan.with_parameters(number(event_bars(spark, folder)), {"period": [5, 10, 20], "mult": [1.5, 2.5]})
     return shown(
         bars.groupBy("ticker", "period", "mult").agg(
             F.count_if(F.col("high") > F.col("close") * F.col("mult")).alias("n"),

@@ -196,9 +196,9 @@ def signals_from_probabilities(spark, folder):
 
 @query("sampled_parameter_grid")
 def sampled_parameter_grid(spark, folder):
-    """Twenty combinations of the forest grid drawn by hash, crossed with the bars' tickers."""
+    """Twenty combinations of the forest grid drawn by hash, for each ticker's bars."""
     import json
 
-    combos = training.sampled_grid(spark, training.GRIDS["random_forest"], 20)
-    table = spark.createDataFrame([(json.dumps(c, sort_keys=True),) for c in combos], "params string")
-    return event_bars(spark, folder).select("ticker").distinct().crossJoin(table)
+    texts = [json.dumps(c, sort_keys=True) for c in training.sampled_grid(training.GRIDS["random_forest"], 20)]
+    bars = event_bars(spark, folder).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"))
+    return bars.withColumn("params", F.explode(F.lit(texts)))

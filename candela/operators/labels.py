@@ -94,24 +94,22 @@ def touch(
     hit_sl = F.when(long, x <= F.col("sl_level")).otherwise(x >= F.col("sl_level"))
     group = ["ticker", *extra_keys, "ts", "pos", "entry", "_side", "pt_level", "sl_level"]
     pairs = future_paths(starts, bars, horizon, widest)
-    # Positions, times and prices travel in one struct, so the exit needs no second join.
-    bar = F.struct("path_pos", "path_ts", "path_close")
-    found = pairs.groupBy(*group).agg(
-        F.min(F.when(hit_pt, bar)).alias("_up"),
-        F.min(F.when(hit_sl, bar)).alias("_down"),
-        F.max(bar).alias("_end"),
-    )
-    upper = F.col("_up").isNotNull() & (
-        F.col("_down").isNull() | (F.col("_up.path_pos") <= F.col("_down.path_pos"))
-    )
+    # Fixed-width buffers keep this a hash aggregate; exits need no second join.
+    exits = {"up": F.when(hit_pt, F.col("path_pos")), "down": F.when(hit_sl, F.col("path_pos"))}
+    picks = [F.min(at).alias(f"_{n}") for n, at in exits.items()]
+    for c in ("path_ts", "path_close"):
+        picks += [F.min_by(c, at).alias(f"_{n}_{c}") for n, at in exits.items()]
+        picks.append(F.max_by(c, "path_pos").alias(f"_end_{c}"))
+    found = pairs.groupBy(*group).agg(*picks)
+    upper = F.col("_up").isNotNull() & (F.col("_down").isNull() | (F.col("_up") <= F.col("_down")))
     barrier = F.when(upper, "upper").when(F.col("_down").isNotNull(), "lower").otherwise("vertical")
-    out = found.withColumn("barrier", barrier).withColumn(
-        "_exit",
-        F.when(F.col("barrier") == "upper", F.col("_up"))
-        .when(F.col("barrier") == "lower", F.col("_down"))
-        .otherwise(F.col("_end")),
+    exit_of = lambda c: (
+        F.when(F.col("barrier") == "upper", F.col(f"_up_{c}"))
+        .when(F.col("barrier") == "lower", F.col(f"_down_{c}"))
+        .otherwise(F.col(f"_end_{c}"))
     )
-    gain = (F.col("_exit.path_close") - F.col("entry")) / F.nullif("entry", F.lit(0.0))
+    out = found.withColumn("barrier", barrier).withColumns({c: exit_of(c) for c in ("path_ts", "path_close")})
+    gain = (F.col("path_close") - F.col("entry")) / F.nullif("entry", F.lit(0.0))
     out = out.withColumn("ret", F.when(long, gain).otherwise(-gain))
     label = (
         F.when(F.col("barrier") == "upper", 1)
@@ -122,7 +120,7 @@ def touch(
         "ticker",
         *extra_keys,
         F.col("ts").alias("event_ts"),
-        F.col("_exit.path_ts").alias("t1"),
+        F.col("path_ts").alias("t1"),
         "ret",
         label.alias("label"),
         "barrier",

@@ -6,6 +6,7 @@ Return series are tables ``(group columns, ts, ret)``; value series are ``(group
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from candela.operators.timeline import BLOCK, bounded, number, running
 
-SLICES = 64
+SLICES, PARTS = 64, 1_024
 EULER_GAMMA = 0.5772156649  # fixed value
 
 
@@ -33,8 +34,20 @@ def auc(df: DataFrame, keys: Sequence[str], score: str = "y_prob", truth: str =
         F.count_if(F.col(truth) == 1).alias("_p"), F.count_if(F.col(truth) != 1).alias("_n")
     )
     at = [i / SLICES for i in range(1, SLICES)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_s", at, F.lit(1_000)).alias("_cuts"))
-    sliced = counts.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda q: q < F.col("_s")))).drop("_cuts")
+    cuts = counts.groupBy(*keys).agg(
+        F.percentile_approx("_s", at, F.lit(1_000)).alias("_cuts"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi")
+    )
+    # Between two quantiles a slice is cut further at equal distances.
+    at_cut = F.size(F.filter("_cuts", lambda q: q < F.col("_s")))
+    edges = F.concat(F.array("_lo"), F.col("_cuts"), F.array("_hi"))
+    left, right = F.get(edges, F.col("_cut")), F.get(edges, F.col("_cut") + 1)
+    part = F.floor(F.coalesce(F.try_divide(F.col("_s") - left, right - left), F.lit(0.0)) * PARTS)
+    sliced = (
+        counts.join(cuts, keys)
+        .withColumn("_cut", at_cut)
+        .withColumn("_slice", F.col("_cut") * (PARTS + 1) + part)
+        .drop("_cuts", "_lo", "_hi", "_cut")
+    )
     before_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         sliced.groupBy(*keys, "_slice")
@@ -195,27 +208,23 @@ def overfitting_probability(returns: DataFrame, partitions: int = 8, max_combos:
     ``returns(strategy, ts, ret)`` should share one clock; times that lack a strategy are left out. More
     than ``max_combos`` choices are sampled by hash, so the draw is the same on every run.
     """
-    spark = returns.sparkSession
-    strategies = returns.select("strategy").distinct().agg(F.count(F.lit(1)).alias("_k"))
+    n_strategies = returns.agg(F.count_distinct("strategy")).scalar()
     common = returns.filter(F.col("ret").isNotNull()).groupBy("ts").agg(F.count_distinct("strategy").alias("_c"))
-    # One row: the number of strategies.
-    clock = common.join(F.broadcast(strategies), F.col("_c") == F.col("_k")).select(F.lit(1).alias("_all"), "ts")
+    clock = common.withColumn("_k", n_strategies).filter(F.col("_c") == F.col("_k")).select(F.lit(1).alias("_all"), "ts")
     clock = number(clock, ["_all"], block=block)
-    total = clock.agg(F.count(F.lit(1)).alias("_n"))
-    clock = clock.crossJoin(F.broadcast(total))
+    clock = clock.withColumn("_n", clock.agg(F.count(F.lit(1))).scalar())
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(partitions)))
     blocks = clock.select("ts", F.floor((F.col("pos") - 1) / size).cast("int").alias("part"), F.least(F.lit(partitions), "_n").alias("_p"))
     blocks = blocks.filter(F.col("part") < F.col("_p")).drop("_p")
     scores = returns.join(blocks, "ts").groupBy("strategy", "part").agg(
         F.coalesce(F.try_divide(F.avg("ret"), F.stddev_samp("ret")), F.lit(0.0)).alias("score")
     )
-    # A choice is a bit mask over the blocks: 2^partitions masks, a number fixed by the parameter.
-    half = partitions // 2
-    combos = spark.range(2**partitions).filter(F.bit_count("id") == half).withColumnRenamed("id", "combo")
-    if math.comb(partitions, half) > max_combos:
-        combos = combos.orderBy(F.xxhash64("combo", F.lit(42)), "combo").limit(max_combos)
+    # A choice is a bit mask over the blocks; the masks are set by the parameters alone.
+    masks = [m for m in range(2**partitions) if m.bit_count() == partitions // 2]
+    if len(masks) > max_combos:
+        masks = sorted(random.Random(42).sample(masks, max_combos))
     chosen = F.expr("shiftright(combo, part) & 1") == 1
-    sides = scores.crossJoin(F.broadcast(combos)).groupBy("combo", "strategy").agg(
+    sides = scores.withColumn("combo", F.explode(F.lit(masks))).groupBy("combo", "strategy").agg(
         F.avg(F.when(chosen, F.col("score"))).alias("inside"), F.avg(F.when(~chosen, F.col("score"))).alias("outside")
     )
     best = sides.groupBy("combo").agg(
@@ -241,10 +250,19 @@ def pair_moments(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     a = returns.select(*keys, "ts", F.col("ticker").alias("a"), F.col("ret").alias("_x"))
     b = returns.select(*keys, "ts", F.col("ticker").alias("b"), F.col("ret").alias("_y"))
-    spread = F.stddev_samp("_x") * F.stddev_samp("_y")
-    return a.join(b, keys + ["ts"]).groupBy(*keys, "a", "b").agg(
-        F.covar_samp("_x", "_y").alias("cov"), F.try_divide(F.covar_samp("_x", "_y"), spread).alias("corr")
+    cov = F.covar_samp("_x", "_y")
+    half = a.join(b, keys + ["ts"]).filter("a <= b").groupBy(*keys, "a", "b").agg(
+        cov.alias("cov"), F.try_divide(cov, F.stddev_samp("_x") * F.stddev_samp("_y")).alias("corr")
+    )
+    return mirrored(half, keys)
+
+
+def mirrored(half: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Both orders of each pair, from the pairs with a <= b."""
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     )
+    return half.select(*keys, F.explode(ways).alias("_w"), "cov", "corr").select(*keys, "_w.a", "_w.b", "cov", "corr")
 
 
 def mean_correlation(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,18 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.operators.metrics import mirrored
 from candela.operators.timeline import BLOCK, bounded, number, running
 from candela.session import checkpointed
 
 
+WIDEST = 10_000  # tickers of one panel: its list travels to every task, and its matrices are n x n
+
+
+def ticker_list(df: DataFrame, column: str = "ticker") -> Column:
+    """The sorted tickers of a table as one array value (an error beyond WIDEST)."""
+    names = df.select(column).distinct().agg(F.sort_array(F.collect_set(column)).alias("_names"))
+    checked = F.when(F.size("_names") <= WIDEST, F.col("_names")).otherwise(
+        F.raise_error(F.lit(f"a panel holds at most {WIDEST} tickers"))
+    )
+    return names.select(checked).scalar()
+
+
 def align_panel(bars: DataFrame, columns: Sequence[str] = ("close",), block: int = BLOCK) -> DataFrame:
     """Every ticker at every time any ticker has, gaps filled forward (missing before a ticker starts).
 
     ``seen`` is the time of the bar a row's values come from.
     """
-    clock = bars.select("ts").distinct()
-    tickers = bars.select("ticker").distinct()
-    grid = clock.crossJoin(tickers).join(
+    clock = bars.select("ts").distinct().withColumn("ticker", ticker_list(bars))
+    grid = clock.withColumn("ticker", F.explode("ticker")).join(
         bars.select("ticker", "ts", *columns, F.col("ts").alias("_at")), ["ticker", "ts"], "left"
     )
     fills = {f"_f_{c}": ("last", F.col(c)) for c in columns} | {"seen": ("last", F.col("_at"))}
@@ -44,13 +56,14 @@ def latest_on_day(signals: DataFrame, days: DataFrame, values: Sequence[str]) ->
     Signals shrink to one row per ticker and day first (map-side combine), so what is ordered per ticker
     afterwards is no longer than the calendar.
     """
-    packed = F.max_by(F.struct(*values), "ts").alias("_s")
-    last = signals.groupBy("ticker", F.to_date("ts").alias("date")).agg(packed)
-    spine = signals.select("ticker").distinct().crossJoin(days.select("date").distinct())
-    both = spine.withColumn("_wanted", F.lit(True)).join(last, ["ticker", "date"], "full")
-    w = Window.partitionBy("ticker").orderBy("date")
-    out = both.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).filter("_wanted").filter(F.col("_s").isNotNull())
-    return out.select("ticker", "date", *[F.col(f"_s.{v}").alias(v) for v in values])
+    last = signals.groupBy("ticker", F.to_date("ts").alias("_from")).agg(*[F.max_by(v, "ts").alias(v) for v in values])
+    # A signal is known from its day to the day before the next one.
+    end = days.agg(F.max("date")).scalar()
+    w = Window.partitionBy("ticker").orderBy("_from")
+    held = last.withColumn("_next", F.lead("_from").over(w)).withColumn("_end", end)
+    held = held.withColumn("_until", F.least(F.coalesce(F.date_sub("_next", 1), F.col("_end")), F.col("_end")))
+    each = held.filter(F.col("_from") <= F.col("_until")).withColumn("date", F.explode(F.sequence("_from", "_until")))
+    return each.join(days.select("date").distinct(), "date", "left_semi").select("ticker", "date", *values)
 
 
 def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, until=None) -> DataFrame:
@@ -114,19 +127,21 @@ def unpacked(rows: DataFrame) -> DataFrame:
 def cell_moments(rows: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
     """Covariance and correlation of every ordered pair of tickers per group of packed rows."""
     a = rows.select(*keys, "cells", F.explode("cells").alias("_a"))
-    both = a.select(*keys, "_a", F.explode("cells").alias("_b"))
+    later = F.filter("cells", lambda c: c["ticker"] >= F.col("_a.ticker"))
+    both = a.select(*keys, "_a", F.explode(later).alias("_b"))
     x, y = F.col("_a.ret"), F.col("_b.ret")
     cov = F.covar_samp(x, y)
-    return both.groupBy(*keys, F.col("_a.ticker").alias("a"), F.col("_b.ticker").alias("b")).agg(
+    half = both.groupBy(*keys, F.col("_a.ticker").alias("a"), F.col("_b.ticker").alias("b")).agg(
         cov.alias("cov"), F.try_divide(cov, F.stddev_samp(x) * F.stddev_samp(y)).alias("corr")
     )
+    return mirrored(half, keys)
 
 
 def spread_weights(weights: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weights for the whole universe (0 where absent), brought back to sum 1 per group."""
     keys = list(keys)
-    groups = weights.select(*keys).distinct()
-    full = groups.crossJoin(universe.select("ticker").distinct()).join(weights, keys + ["ticker"], "left")
+    groups = weights.select(*keys).distinct().withColumn("ticker", ticker_list(universe))
+    full = groups.withColumn("ticker", F.explode("ticker")).join(weights, keys + ["ticker"], "left")
     total = full.groupBy(*keys).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("_total"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("_total") > 0, F.coalesce("weight", F.lit(0.0)) / F.nullif("_total", F.lit(0.0)))
     return full.join(total, keys).select(*keys, "ticker", F.coalesce(share, 1.0 / F.col("_n")).alias("weight"))

@@ -70,18 +70,18 @@ def account(
     daily = checkpointed(panel.daily_returns(panel.daily_last(panel.align_panel(bars))))
     universe = daily.select("ticker").distinct()
     days = daily.select("date").distinct()
-    profiles = weights.select("profile").distinct()
+    profiles = panel.ticker_list(weights, "profile")
     full = panel.spread_weights(weights, universe, ["profile", "date"])
     sets = full.groupBy("profile", "date").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "weight")))).alias("_w")
     )
-    n = universe.agg(F.sort_array(F.collect_set("ticker")).alias("_t"))
     equal = F.map_from_arrays("_t", F.transform("_t", lambda _: F.lit(1.0) / F.size("_t")))
     # One row per profile and day from here on: the calendar's length.
     order = Window.partitionBy("profile").orderBy("date")
     marked = sets.join(states, "date", "left")
-    calendar = days.withColumn("_open", F.lit(True)).crossJoin(profiles).join(marked, ["profile", "date"], "full")
-    calendar = calendar.join(confidence, "date", "left").crossJoin(F.broadcast(n))
+    calendar = days.withColumn("_open", F.lit(True)).withColumn("profile", profiles)
+    calendar = calendar.withColumn("profile", F.explode("profile")).join(marked, ["profile", "date"], "full")
+    calendar = calendar.join(confidence, "date", "left").withColumn("_t", panel.ticker_list(universe))
     held = calendar.select(
         "profile",
         "date",

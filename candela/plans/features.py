@@ -187,8 +187,7 @@ def drop_sparse(df: DataFrame, columns: Sequence[str], threshold: float = 0.5) -
     return df.drop(*[c for c in columns if shares[c] > threshold])
 
 
-def parameter_table(spark, params: dict[str, list]) -> DataFrame:
-    """The grid as a table, one row per combination; its size is fixed by the given lists."""
-    names = list(params)
-    rows = [tuple(combo[n] for n in names) for combo in choices(params)]
-    return spark.createDataFrame(rows, names)
+def with_parameters(df: DataFrame, params: dict[str, list]) -> DataFrame:
+    """Every row once per parameter combination; the grid is a literal in the plan, not a joined table."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in combo.items()]) for combo in choices(params)]
+    return df.withColumn("_p", F.explode(F.array(*cells))).select(*df.columns, "_p.*")

@@ -6,6 +6,7 @@ Spark; a few run side by side from driver threads.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from candela.operators import metrics
 from candela.operators.cleaning import fill
 from candela.operators.timeline import BLOCK
-from candela.plans.features import choices, parameter_table
+from candela.plans.features import choices
 from candela.session import checkpointed
 
 # Default search grids by model name.
@@ -98,8 +99,8 @@ def fold_list(rows: DataFrame) -> list[tuple[str, int]]:
 
 
 def fold_rows(samples: DataFrame, folds: DataFrame) -> DataFrame:
-    """Prepared samples of all folds with their role, read by many fits."""
-    return checkpointed(prepared(samples).join(folds, ["ticker", "ts"]))
+    """Prepared samples of all folds with their role; each fit reads only its own ticker and fold."""
+    return checkpointed(prepared(samples).join(folds, ["ticker", "ts"]), ["ticker", "fold"])
 
 
 def fold_predictions(
@@ -128,22 +129,21 @@ def mean_auc(predictions: DataFrame) -> DataFrame:
     return by_fold.groupBy("ticker").agg(F.avg("auc").alias("score"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def sampled_grid(spark, grid: dict[str, list], limit: int = 50) -> list[dict]:
+def sampled_grid(grid: dict[str, list], limit: int = 50, seed: int = 42) -> list[dict]:
     """All combinations of a grid, or ``limit`` of them drawn by hash (the same ones on every run)."""
     combos = choices(grid)
     if len(combos) <= limit:
         return combos
-    text = parameter_table(spark, {"params": [json.dumps(c, sort_keys=True) for c in combos]})
-    drawn = text.orderBy(F.xxhash64("params", F.lit(42)), "params").limit(limit)
-    return [json.loads(r["params"]) for r in drawn.collect()]
+    texts = [json.dumps(c, sort_keys=True) for c in combos]
+    drawn = sorted(texts, key=lambda t: hashlib.md5(f"{seed}:{t}".encode()).hexdigest())[:limit]
+    return [json.loads(t) for t in drawn]
 
 
 def grid_search(rows: DataFrame, features: Sequence[str], name: str, grid: dict[str, list], limit: int = 50) -> DataFrame:
     """``ticker, rank, params, score, n_folds`` for every combination tried."""
-    spark = rows.sparkSession
     pairs = fold_list(rows)
     out = None
-    for rank, params in enumerate(sampled_grid(spark, grid, limit)):
+    for rank, params in enumerate(sampled_grid(grid, limit)):
         scored = mean_auc(fold_predictions(rows, features, name, params, pairs))
         scored = scored.select(
             "ticker", F.lit(rank).alias("rank"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "score", "n_folds"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +33,24 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "ca
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder, so a lost executor costs no recomputation chain.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the cluster.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; a local session without one gets a
-    temporary folder.
+    A local session without that setting gets one temporary folder.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="candela-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The same rows as a table written to the shared folder: no lineage to recompute when an executor is
+    lost, and unlike an RDD checkpoint it is read by column and with filters pushed down."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="candela-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/candela-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
