@@ -169,7 +169,8 @@ def threshold_rebalance_walk(spark, folder):
       CASE WHEN regime = 'bull' THEN 'Kelly' WHEN regime IN ('bear', 'crisis') THEN 'HRP' ELSE 'Black-Litterman' END AS optimizer FROM rg""",
 ))
 def market_regime(spark, folder):
-    facts = portfolio.regime(portfolio.regime_facts(*windows(spark, folder)))
+    rows, price_rows = windows(spark, folder)
+    facts = portfolio.regime(portfolio.regime_facts(portfolio.window_facts(rows), price_rows))
     return shown(facts.withColumn("optimizer", portfolio.optimizer_for("regime")), 5)
 
 
@@ -199,9 +200,9 @@ def capped_weights(spark, folder):
     OUT.format(c="::DATE", t="d") + " WHERE date IN (SELECT date FROM ok)", recursive=True,
 ))
 def kelly_weights(spark, folder):
-    returns = panel.unpacked(windows(spark, folder)[0])
+    facts = portfolio.kelly_facts(portfolio.window_facts(windows(spark, folder)[0]))
     strength = panel.latest_on_day(signals(spark, folder), days_of(trade_bars(spark, folder)), ["signal_strength"])
-    return shown(portfolio.kelly_weights(returns, strength.withColumnRenamed("signal_strength", "strength"), cap=0.45), 5)
+    return shown(portfolio.kelly_weights(facts, strength.withColumnRenamed("signal_strength", "strength"), cap=0.45), 5)
 
 
 def _moments(spark, folder):

@@ -270,11 +270,14 @@ def mean_correlation(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return pairs.filter(F.col("a") < F.col("b")).groupBy(*keys).agg(F.avg("corr").alias("mean_corr"))
 
 
-def win_loss(returns: DataFrame, keys: Sequence[str], ret: str = "ret") -> DataFrame:
+def win_loss_columns(x: Column) -> list[Column]:
     """Share of rising rows, mean gain and mean loss (0.01 where there is none)."""
-    x = F.col(ret)
-    return returns.groupBy(*keys).agg(
+    return [
         F.avg((x > 0).cast("double")).alias("win_rate"),
         F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.01)).alias("avg_gain"),
         F.coalesce(F.abs(F.avg(F.when(x < 0, x))), F.lit(0.01)).alias("avg_loss"),
-    )
+    ]
+
+
+def win_loss(returns: DataFrame, keys: Sequence[str], ret: str = "ret") -> DataFrame:
+    return returns.groupBy(*keys).agg(*win_loss_columns(F.col(ret)))

@@ -70,7 +70,7 @@ def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, unt
     """``date`` with the panel rows in ``[date - span, date]`` (and before ``until``).
 
     Days and rows meet on 30-day buckets of time, so the join is an equi-join. The calendar side is
-    one row per day and bucket, a size set by the calendar and small enough for Spark to broadcast.
+    broadcast: it has one row per calendar day and bucket, under 5000 a year whatever the data's size.
     """
     width = 30
     bucket = lambda days_since: F.floor(days_since / F.lit(width))
@@ -82,7 +82,7 @@ def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, unt
     rows = rows.withColumn("_bucket", bucket(F.unix_date(F.to_date("ts"))))
     start = F.col("date").cast("timestamp") - F.expr(f"INTERVAL {span_days * 24} HOURS")
     return (
-        rows.join(d, "_bucket")
+        rows.join(F.broadcast(d), "_bucket")
         .withColumn("_start", start)
         .filter((F.col("ts") >= F.col("_start")) & (F.col("ts") <= F.col("date").cast("timestamp")))
         .drop("_bucket")

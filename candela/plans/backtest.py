@@ -34,20 +34,20 @@ def daily_weights(bars: DataFrame, signals: DataFrame, days: DataFrame, profiles
     ready = price_rows.filter((F.col("n_tickers") >= 2) & (F.col("price_rows") >= 30)).join(
         known.filter(F.col("_known") >= 2).select("date"), "date", "left_semi"
     )
-    states = portfolio.regime(portfolio.regime_facts(rows, ready))
+    facts = checkpointed(portfolio.window_facts(rows))
+    states = portfolio.regime(portfolio.regime_facts(facts, ready))
     states = checkpointed(states.select("date", "regime", portfolio.optimizer_for("regime").alias("optimizer")))
     of = lambda df, name: df.join(states.filter(F.col("optimizer") == name).select("date"), "date", "left_semi")
-    kelly = checkpointed(portfolio.kelly_facts(panel.unpacked(of(rows, "Kelly"))))
-    others = rows.join(states.filter("optimizer <> 'Kelly'").select("date"), "date", "left_semi")
-    moments = checkpointed(panel.cell_moments(others))
+    kelly = of(portfolio.kelly_facts(facts), "Kelly")
+    moments = metrics.mirrored(facts.select("date", "a", "b", "cov", "corr"), ["date"])
     # A ticker of the window without a signal counts as a neutral one.
-    held = kelly.select("date", "ticker").unionByName(moments.select("date", F.col("a").alias("ticker")).distinct())
+    held = facts.filter("a = b").select("date", F.col("a").alias("ticker"))
     held = held.join(signals, ["date", "ticker"], "left").select("date", "ticker", F.coalesce("strength", F.lit(0.0)).alias("strength"))
     held = checkpointed(held)
     out = None
     for p in profiles:
         parts = [
-            portfolio.kelly_from_facts(kelly, held, p.confidence, p.cap),
+            portfolio.kelly_weights(kelly, held, p.confidence, p.cap),
             portfolio.hrp_weights(of(moments, "HRP"), held, confidence=p.confidence, cap=p.cap),
             portfolio.black_litterman_weights(
                 of(moments, "Black-Litterman"), held, confidence=p.confidence, cap=p.cap, delta=p.delta, tau=p.tau
