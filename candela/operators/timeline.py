@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from candela.session import checkpointed
 
 BLOCK = 65_536
-HOUR = 3_600
+MINUTE = 60
 DAY = 86_400
 
 
@@ -30,14 +30,15 @@ def number(
     df: DataFrame,
     keys: Sequence[str] = ("ticker",),
     order: Sequence[str] = ("ts",),
-    step: int = HOUR,
+    step: int = MINUTE,
     name: str = "pos",
     block: int = BLOCK,
 ) -> DataFrame:
     """Add the 1-based position of each row in its series; a no-op when the column is already there.
 
-    ``order[0]`` must be a timestamp. ``step`` is the usual distance of rows in seconds: a slice of
-    ``step * block`` seconds holds about ``block`` rows, and only one counter per slice crosses slices.
+    ``order[0]`` must be a timestamp. ``step`` is the least usual distance of rows in seconds: a slice of
+    ``step * block`` seconds then holds at most about ``block`` rows, and only one counter per slice
+    crosses slices. The default suits minute to daily bars; give the real step for finer ones.
     """
     if name in df.columns:
         return df
