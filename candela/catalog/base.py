@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Queries whose ``date`` is a calendar day: shown as text, which both engines print alike.
+BY_DAY = {
+    "capped_weights", "daily_accounting", "daily_returns_filled", "kelly_weights", "largest_weight_change",
+    "latest_signal_per_day", "market_regime", "mean_confidence_per_day", "money_allocation", "result_files_round_trip",
+    "threshold_rebalance_step", "threshold_rebalance_walk", "top_allocations", "top_three_allocations",
+    "trailing_year_slices", "weights_for_universe", "weights_times_next_returns",
+}
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -25,11 +33,12 @@ def query(name: str, sql: str | None = None):
         @wraps(fn)
         def in_utc(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, folder)
+            out = fn(spark, folder)
+            return out.withColumn("date", F.col("date").cast("string")) if name in BY_DAY else out
 
         QUERIES[name] = in_utc
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({sql})" if name in BY_DAY else sql
         return fn
 
     return add

@@ -196,8 +196,8 @@ def capped_weights(spark, folder):
     """kl AS (SELECT date, ticker, avg((ret > 0)::INT) AS wr, coalesce(avg(ret) FILTER (WHERE ret > 0), 0.01) AS g, coalesce(abs(avg(ret) FILTER (WHERE ret < 0)), 0.01) AS l, count(*) AS n FROM wr GROUP BY 1, 2),
     kq AS (SELECT kl.*, least(greatest(0.5 + (2 * prob_up - 1) * 0.7 * 0.3 + (wr - 0.5) * 0.2, 0.01), 0.99) AS p, g / (l + 1e-10) AS b FROM kl JOIN (SELECT k.date, k.ticker, sig.prob_up FROM (SELECT DISTINCT date, ticker FROM wr) k ASOF JOIN sig ON sig.ticker = k.ticker AND k.date >= sig.ts) q USING (date, ticker)),
     pk AS (SELECT date, list(CASE WHEN n >= 20 THEN greatest((p * b - (1 - p)) / (b + 1e-10), 0) * 0.5 ELSE 0 END ORDER BY ticker) AS w FROM kq GROUP BY 1)""",
-    CAP, "ok AS (SELECT date FROM wr GROUP BY 1 HAVING count(DISTINCT ticker) = 3)",
-    OUT.format(c="::DATE", t="d") + " WHERE date IN (SELECT date FROM ok)", recursive=True,
+    CAP, "nm AS (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY ticker) AS i FROM kq)",
+    "SELECT date::DATE AS date, ticker, round(w[i], 5) + 0.0 AS weight FROM ce JOIN nm USING (date)", recursive=True,
 ))
 def kelly_weights(spark, folder):
     facts = portfolio.kelly_facts(portfolio.window_facts(windows(spark, folder)[0]))
@@ -281,7 +281,7 @@ def results(spark, folder, commission_bps: float = 0.0):
     states = weights.select("date").distinct().select(
         "date", F.when(even, "bull").otherwise("bear").alias("regime"), F.when(even, "Kelly").otherwise("HRP").alias("optimizer")
     )
-    sure = prices.groupBy("date").agg(F.least(F.max("close") / 1_000.0, F.lit(1.0)).alias("confidence"))
+    sure = prices.groupBy("date").agg(F.least(F.max("close") / 1_700.0, F.lit(1.0)).alias("confidence"))
     lifted = bars.withColumn("close", F.col("close") + 5_000)
     return backtest.account(weights, states, lifted, sure, commission_bps=commission_bps)
 

@@ -15,7 +15,7 @@ from candela.sources.ticks import event_bars
 # One profile's results with confidence and rounded allocations.
 RES = [
     B, _PANEL_DAILY, _ACCOUNT,
-    "cf AS (SELECT date, least(max(close - 5000) / 1000.0, 1.0) AS c FROM dl GROUP BY 1)",
+    "cf AS (SELECT date, least(max(close - 5000) / 1700.0, 1.0) AS c FROM dl GROUP BY 1)",
     """rs AS (SELECT 'mid' AS profile, ac.date, portfolio_value, benchmark_value, regime, optimizer, round(c, 4) AS confidence,
       row_number() OVER (ORDER BY ac.date) AS day FROM ac JOIN cf USING (date))""",
     "al AS (SELECT date, ticker, round(w, 4) AS w FROM hw WHERE date IN (SELECT date FROM rs))",
