@@ -12,7 +12,7 @@ from candela.operators.timeline import BLOCK, bounded, number, running
 from candela.session import checkpointed
 
 
-WIDEST = 10_000  # tickers of one panel: its list travels to every task, and its matrices are n x n
+WIDEST = 1_000_000  # tickers of one panel: their list, some tens of megabytes then, travels to every task
 
 
 def ticker_list(df: DataFrame, column: str = "ticker") -> Column:

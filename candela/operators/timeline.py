@@ -12,6 +12,7 @@ A ticker may hold a third of all rows, so no window or grouped map here is parti
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -236,14 +237,14 @@ class Carry:
             s1 = scale * np.cumsum(d * rise)
             s2 = fade * spread + scale * np.cumsum(d * d * rise)
             w2 = fade * fade * square + scale * scale * np.cumsum(rise * rise)
-            count = seen + np.cumsum(here)
+            values_seen = seen + np.cumsum(here)
             with np.errstate(divide="ignore", invalid="ignore"):
                 mu = np.where(w > 0, centre + s1 / w, centre)
                 m2 = np.where(w > 0, np.maximum(s2 - s1 * s1 / w, 0.0), 0.0)
                 value = np.sqrt(m2 / w * (w * w / (w * w - w2))) if std else mu
             need = max(at_least, 2 if std else 1)
-            out[lo : lo + len(part)] = np.where(count >= need, value, np.nan)
-            weight, mean, spread, square, seen = w[-1], mu[-1], m2[-1], w2[-1], count[-1]
+            out[lo : lo + len(part)] = np.where(values_seen >= need, value, np.nan)
+            weight, mean, spread, square, seen = w[-1], mu[-1], m2[-1], w2[-1], values_seen[-1]
         self.give(weight, mean, spread, square, seen)
         return out
 
@@ -271,6 +272,8 @@ def fold(
     the whole series, while memory per task stays at one block.
     """
     keys = list(keys)
+    if not inputs or warmup < 0:
+        raise ValueError("a fold needs input columns and a warm-up of at least 0 rows")
     carried = [c for c in df.columns]
     hints = {f.name: f.dataType for f in df.schema.fields}
     out_fields = [T.StructField(c, hints[c]) for c in carried]
@@ -320,15 +323,18 @@ def fold(
     group = keys + ["blk"]
     blocks = halo(df, back=min(warmup, block), block=block, pos=pos)
     done = checkpointed(blocks.groupBy(*group).applyInPandas(guess, schema))
-    while True:
+    for repair in count(1):
         ends = done.filter("_out is not null").select(*group, "_in", "_out")
         left = ends.select(*keys, (F.col("blk") + 1).alias("blk"), F.col("_out").alias("_start"))
         wrong = ends.join(left, group).filter(~_agree("_in", "_start", tolerance)).select(*group, "_start")
         wrong = checkpointed(wrong)
         if wrong.isEmpty():
             return done.drop("blk", "_in", "_out")
+        # Only repaired blocks are written again; reading leaves out what they replace.
         again = done.select(*carried, "blk").join(wrong, group).groupBy(*group).applyInPandas(repeat, schema)
-        done = checkpointed(done.join(wrong, group, "left_anti").unionByName(again))
+        done = done.join(wrong, group, "left_anti").unionByName(checkpointed(again))
+        if repair % 8 == 0:
+            done = checkpointed(done)
 
 
 def _agree(a: str, b: str, tolerance: float) -> Column:

@@ -34,6 +34,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "ca
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the cluster.
 
@@ -41,10 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="candela-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="candela-checkpoint-")
+        folder = _local_folders[context.applicationId]
     return folder.rstrip("/")
 
 
