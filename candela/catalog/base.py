@@ -13,7 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Queries whose ``date`` is a calendar day: shown as text, which both engines print alike.
 BY_DAY = {
-    "capped_weights", "daily_accounting", "daily_returns_filled", "kelly_weights", "largest_weight_change",
+    "capped_weights", "daily_accounting", "daily_accounting_with_commission", "daily_returns_filled", "kelly_weights",
+    "largest_weight_change",
     "latest_signal_per_day", "market_regime", "mean_confidence_per_day", "money_allocation", "result_files_round_trip",
     "threshold_rebalance_step", "threshold_rebalance_walk", "top_allocations", "top_three_allocations",
     "trailing_year_slices", "weights_for_universe", "weights_times_next_returns",

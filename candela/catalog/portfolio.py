@@ -291,7 +291,11 @@ def daily_accounting(spark, folder):
     return results(spark, folder).select("date", "portfolio_value", "benchmark_value", "regime", "optimizer")
 
 
-@query("daily_accounting_with_commission")
+@query("daily_accounting_with_commission", with_ctes(
+    B, _PANEL_DAILY, _ACCOUNT,
+    "tn AS (SELECT date, sum(m) AS moved FROM (SELECT date, coalesce(abs(w - lag(w) OVER (PARTITION BY ticker ORDER BY date)), 0) AS m FROM hw) GROUP BY 1)",
+    "SELECT ac.date, round(1000 * exp(sum(ln(1 + p - moved * 0.0005)) OVER (ORDER BY ac.date)), 4) + 0.0 AS portfolio_value, benchmark_value + 0.0 AS benchmark_value, ac.regime FROM ac JOIN pf USING (date) JOIN tn USING (date)",
+))
 def daily_accounting_with_commission(spark, folder):
     return results(spark, folder, 5.0).select("date", "portfolio_value", "benchmark_value", "regime")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candela.catalog.base import B, query, r, shown, with_ctes
-from candela.catalog.evaluation import P, predictions
+from candela.catalog.evaluation import _AUC, _STRAT, P, predictions
 from candela.catalog.portfolio import _ACCOUNT, _PANEL_DAILY, results
 from candela.operators import panel, report
 from candela.operators.timeline import number
@@ -120,7 +120,15 @@ def fold_predictions_in_time_order(spark, folder):
     return rows.filter("fold = 3").unionByName(rows.filter("fold = 1")).orderBy("ticker", "ts")
 
 
-@query("train_against_test")
+@query("train_against_test", with_ctes(
+    B, P, _AUC, _STRAT,
+    "sh AS (SELECT ticker, fold, coalesce(sqrt(252) * avg(strategy_return_net) / nullif(stddev_samp(strategy_return_net), 0), 0) AS sharpe FROM s GROUP BY 1, 2)",
+    *_SUMMARY[1:],
+    f"""SELECT 'mid' AS profile, ticker, {r('avg(auc)', 'train_auc')}, {r('avg(sh.sharpe)', 'train_sharpe')},
+      (SELECT count(*) FROM ss) AS test_days, (SELECT round(avg(ret) / stddev_pop(ret) * sqrt(252), 6) FROM ss) AS test_sharpe,
+      (SELECT round(min((portfolio_value - peak) / peak) * 100, 6) FROM ss) AS test_max_drawdown FROM au JOIN sh USING (ticker, fold) GROUP BY ticker""",
+))
 def train_against_test(spark, folder):
     folds = evaluate_folds(predictions(spark, folder)).groupBy("ticker").agg(F.avg("auc").alias("auc"), F.avg("sharpe").alias("sharpe"))
-    return report.train_against_test(folds.withColumn("profile", F.lit("mid")), report.summary(res(spark, folder)))
+    tested = report.summary(res(spark, folder)).select("profile", "days", "sharpe", "max_drawdown")
+    return shown(report.train_against_test(folds.withColumn("profile", F.lit("mid")), tested))
