@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing the operator modules registers them."""
 
-from candela.llm import language, quality, toxicity, url_filter  # noqa: F401
+from candela.llm import language, packing, quality, toxicity, url_filter  # noqa: F401
 from candela.llm.registry import QUERIES, SQL  # noqa: F401
