@@ -191,7 +191,7 @@ class ToxicityModel:
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, stem or not, texts and occurrences by label) of each batch of labelled texts."""
+    """(term, stem or not, clean texts, toxic texts, occurrences in toxic texts) of each batch of labelled texts."""
     for batch in batches:
         rows: dict[tuple[str, bool], list[int]] = {}
         for text, label in zip(batch["text"], batch["label"], strict=True):
@@ -203,11 +203,11 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         stems[w[:k]] += n
             for is_stem, counts in ((False, words), (True, stems)):
                 for term, n in counts.items():
-                    row = rows.setdefault((term, is_stem), [0, 0, 0, 0])
+                    row = rows.setdefault((term, is_stem), [0, 0, 0])
                     row[int(label)] += 1
-                    row[2 + int(label)] += n
+                    row[2] += n * int(label)
         yield pd.DataFrame(
-            [(t, s, *r) for (t, s), r in rows.items()], columns=["term", "is_stem", "clean", "toxic", "n_clean", "n_toxic"]
+            [(t, s, *r) for (t, s), r in rows.items()], columns=["term", "is_stem", "clean", "toxic", "n_toxic"]
         )
 
 
@@ -243,10 +243,10 @@ def _fitted(learned: DataFrame, terms: int, threshold: float) -> ToxicityModel:
     toxic, clean = totals[1], totals[0]
     counted = (
         learned.mapInPandas(
-            _term_counts, "term string, is_stem boolean, clean long, toxic long, n_clean long, n_toxic long"
+            _term_counts, "term string, is_stem boolean, clean long, toxic long, n_toxic long"
         )
         .groupBy("term", "is_stem")
-        .agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "n_clean", "n_toxic")])
+        .agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "n_toxic")])
     )
     lift = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
     telling = counted.filter((F.col("toxic") >= max(8, 0.02 * toxic)) & (lift >= 5)).withColumn("lift", lift)
@@ -257,7 +257,7 @@ def _fitted(learned: DataFrame, terms: int, threshold: float) -> ToxicityModel:
     # A word belongs to the lexicon if it hardly occurs in clean texts; what only stems explain stays with them.
     words = {t: log(1 + r.lift) for t, r in kinds[False].items() if r.lift >= 40 and len(t) >= 4 and 3 * r.toxic >= r.n_toxic}
     stems = {
-        t: log((r.n_toxic + 1) / (r.n_clean + 1) * clean / toxic)
+        t: log(r.lift)
         for t, r in kinds[True].items()
         if not any(w.startswith(t) for w in words)
     }
