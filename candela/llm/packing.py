@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ OPEN = 4096  # sequences that may be open at a time
 GROUP = 16_384  # pieces a task packs together, about
 END = 1  # id that closes each document
 KNOWN_WORDS = 300_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = ["piece", "start", "length", "ids_crc32"]
 # Separators that Python's split() knows but a tokenizer may treat as text.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85]")
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
@@ -120,21 +120,21 @@ def pieces_of(docs: DataFrame, tokenizer: str, keys: list[str], text: str = "tex
     ``docs`` needs doc_id, ``text`` and ``keys``. Null texts count as empty: one piece that holds only the closing id.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(tokenizer)
         for batch in batches:
-            found = [cut(ids, end, length) for ids in coder.encode(["" if t is None else t for t in batch["text"]])]
-            at = np.repeat(np.arange(len(batch)), [len(f) for f in found])
-            flat = pd.DataFrame(
-                [p for f in found for p in f], columns=["piece", "start", "length", "ids_crc32"]
+            texts = batch.column("_text").to_pylist()
+            found = [cut(ids, end, length) for ids in coder.encode(["" if t is None else t for t in texts])]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            rows = batch.drop_columns(["_text"]).take(pa.array(at))
+            flat = np.array([p for f in found for p in f], dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, *[pa.array(flat[:, k]) for k in range(4)]], names=[*rows.schema.names, *PIECE]
             )
-            rows = batch.drop(columns="text").iloc[at].reset_index(drop=True)
-            yield pd.concat([rows, flat], axis=1)
 
-    rows = docs.select("doc_id", *keys, F.col(quoted(text)).alias("text"))
-    kept = rows.drop("text").schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + PIECES.split(", ")[1:])
-    return rows.mapInPandas(run, schema)
+    rows = docs.select("doc_id", *keys, F.col(quoted(text)).alias("_text"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema] + [f"{c} long" for c in PIECE]
+    return rows.mapInArrow(run, ", ".join(schema))
 
 
 def best_fit(lengths: list[int], size: int = LENGTH, most_open: int = OPEN) -> list[tuple[int, int]]:
@@ -177,18 +177,16 @@ def pack(pieces: DataFrame, group: Column, order: list[str], size: int = LENGTH,
     group in one task; ``order`` are the columns that order a group's pieces. Groups must be bounded by their maker."""
     columns = pieces.columns
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values([f"_o{k}" for k in range(len(order))], kind="stable")
-        placed = best_fit(batch["length"].tolist(), size, most_open)
-        out = batch[columns].reset_index(drop=True)
-        base = int(batch["_group"].iloc[0]) << 32
-        out["sequence_id"] = [base + s for s, _ in placed]
-        out["offset"] = [o for _, o in placed]
-        return out
+    def run(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by([(f"_o{k}", "ascending") for k in range(len(order))])
+        placed = np.array(best_fit(batch.column("length").to_pylist(), size, most_open), dtype=np.int64).reshape(-1, 2)
+        base = batch.column("_group")[0].as_py() << 32
+        out = batch.select(columns)
+        return out.append_column("sequence_id", pa.array(base + placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
 
     keyed = pieces.select("*", group.alias("_group"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return keyed.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    return keyed.groupBy("_group").applyInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(
@@ -205,7 +203,7 @@ def pack_documents(
     groups = max(1, ceil(pieces.count() / per_group))
     turn = pieces.select("*", (-F.col("length")).alias("_turn"))
     dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    return pack(turn, dealt, ["_turn", "doc_id", "piece"], size, most_open).drop("_turn")
+    return pack(turn, dealt, ["_turn", "doc_id", "piece"], size, most_open).drop("_turn").withColumn("piece", F.col("piece").cast("int"))
 
 
 def public_tokenizer(name: str) -> str:
