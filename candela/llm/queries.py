@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing the operator modules registers them."""
 
-from candela.llm import chat, language, mixing, packing, quality, simhash, toxicity, url_filter  # noqa: F401
+from candela.llm import chat, language, lm_score, mixing, packing, quality, simhash, toxicity, url_filter  # noqa: F401
 from candela.llm.registry import QUERIES, SQL  # noqa: F401
