@@ -30,6 +30,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def portions(texts: list[str], chars: int = 1_000_000) -> list[slice]:
+    """Slices of the texts with about so many characters each, which bounds what hashing holds at once."""
+    out, start, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            out.append(slice(start, k + 1))
+            start, size = k + 1, 0
+    return [*out, slice(start, len(texts))] if start < len(texts) else out
+
+
 def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word (between ASCII white space; A-Z lower-cased on demand) of all texts in turn, and for each text the index of
     its first word, with the total at the end."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.llm.columns import packed, quoted, unpacked
-from candela.llm.hashing import mixed, shingle_hashes, word_hashes
+from candela.llm.hashing import mixed, portions, shingle_hashes, word_hashes
 from candela.llm.registry import query, table
 from candela.session import checkpointed
 
@@ -44,9 +44,13 @@ def arrow_batches(spark: SparkSession, rows: int) -> None:
 
 def sets_of(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (A-Z lower-cased; null: none)."""
-    found, firsts = word_hashes(["" if t is None else t for t in texts])
-    hashes, at = shingle_hashes(found, firsts, words)
-    return [np.unique(hashes[at[k] : at[k + 1]]) for k in range(len(texts))]
+    texts = ["" if t is None else t for t in texts]
+    out = []
+    for part in portions(texts):
+        found, firsts = word_hashes(texts[part])
+        hashes, at = shingle_hashes(found, firsts, words)
+        out += [np.unique(hashes[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
+    return out
 
 
 def set_key(shingles: np.ndarray) -> bytes | None:

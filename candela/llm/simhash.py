@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from candela.llm.columns import packed, quoted, unpacked
-from candela.llm.hashing import mixed, shingle_hashes, word_hashes
+from candela.llm.hashing import mixed, portions, shingle_hashes, word_hashes
 from candela.llm.language import small_batches
 from candela.llm.registry import query, table
 
@@ -29,17 +29,20 @@ NEIGHBOURS, MOST_STRETCHES = 512, 100_000
 
 def fingerprints(texts: list[str | None]) -> list[str]:
     """32 hex digits for each text; null and wordless texts have 0."""
-    words, firsts = word_hashes(["" if t is None else t for t in texts])
+    texts = ["" if t is None else t for t in texts]
+    return [f for part in portions(texts, 400_000) for f in _fingerprints(texts[part])]
+
+
+def _fingerprints(texts: list[str]) -> list[str]:
+    words, firsts = word_hashes(texts)
     terms, at = shingle_hashes(words, firsts, TERM_WORDS)
     out = np.zeros((len(texts), BITS), dtype=bool)
     full = np.flatnonzero(np.diff(at))
-    # Some texts at a time: a term is 128 votes.
-    for some in np.array_split(full, max(1, ceil(len(terms) / 200_000))) if len(full) else []:
-        low, high = at[some[0]], at[some[-1] + 1]
-        pair = np.column_stack([terms[low:high], mixed(terms[low:high] ^ SECOND)]).view(np.uint8).reshape(-1, 16)
-        votes = np.add.reduceat(np.unpackbits(pair, axis=1), at[some] - low, axis=0, dtype=np.int64)
-        out[some] = 2 * votes > np.diff(at)[some][:, None]
-    return [b.tobytes().hex() for b in np.packbits(out, axis=1)] if len(texts) else []
+    if len(full):  # a term is 128 votes
+        pair = np.column_stack([terms, mixed(terms ^ SECOND)]).view(np.uint8).reshape(-1, 16)
+        votes = np.add.reduceat(np.unpackbits(pair, axis=1), at[full], axis=0, dtype=np.int64)
+        out[full] = 2 * votes > np.diff(at)[full][:, None]
+    return [b.tobytes().hex() for b in np.packbits(out, axis=1)]
 
 
 @F.pandas_udf(StringType())
