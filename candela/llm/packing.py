@@ -28,11 +28,20 @@ LENGTH = 4096
 OPEN = 4096  # sequences that may be open at a time
 GROUP = 16_384  # pieces a task packs together, about
 END = 1  # id that closes each document
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 700_000
 PIECE = ["piece", "start", "length", "ids_crc32"]
 # Separators that Python's split() knows but a tokenizer may treat as text.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85]")
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
+MARKS = ".,;:!?#*$%&|"  # marks that may follow a plain word
+
+
+def latin(text: str) -> bool:
+    """Whether a text has no character beyond Latin-1; lower-casing such a text is the same letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordIds:
@@ -49,10 +58,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         # The pre-tokenizer's own form of each letter beyond ASCII.
         parted = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.letters = {ord(c): parted(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self.letters = {ord(c): parted(c)[0][0] for c in map(chr, range(0x80, 0x100)) if c.isalpha()}
         self.words: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,24 +73,31 @@ class WordIds:
 
     def _learn(self, new: set[str]) -> list[str]:
         """Remember the words; returns the plain words among them that were new too."""
-        parts = {w: PLAIN.fullmatch(w) for w in new}
-        lowered = {w: m[1].lower() for w, m in parts.items() if m}
-        plain = sorted(set(lowered.values()) - self.plain.keys())
-        self.plain.update((w, self._plain_word(w)) for w in plain)
-        for word, m in parts.items():
-            if not m:
-                self.words[word] = self._whole(word)
+        words, plain, marks, added = self.words, self.plain, self.marks, []
+        for word in new:
+            core = word.rstrip(MARKS)
+            low = core.lower()
+            ids = plain.get(low)
+            if ids is None:
+                if not core.isalpha() or not latin(core):
+                    words[word] = self._whole(word)
+                    continue
+                ids = plain[low] = self._plain_word(low)
+                added.append(low)
+            if len(core) == len(word):
+                words[word] = ids
                 continue
-            if m[2] not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {"": b""}
-                self.marks[m[2]] = self._whole(m[2])
-            self.words[word] = self.plain[lowered[word]] + self.marks[m[2]]
-        return plain
+            tail = word[len(core) :]
+            if tail not in marks:
+                if len(marks) > 10_000:
+                    marks.clear()
+                marks[tail] = self._whole(tail)
+            words[word] = ids + marks[tail]
+        return added
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if RARE_SPACE.search(t) else t.split() for t in texts]
+        split = [None if RARE_SPACE.search(t) else (t.lower() if "<|" not in t and latin(t) else t).split() for t in texts]
         new = set().union(*(p for p in split if p is not None)) - self.words.keys()
         plain = self._learn(new)
         get = self.words.__getitem__
