@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.columns import packed, quoted, unpacked
+from candela.llm.columns import ROW, packed, quoted, unpacked
 from candela.llm.registry import held_out, query, table
 
 UNKNOWN = "und"
@@ -45,7 +45,7 @@ class LanguageModel:
     careful_level: int = 12
     piece: int = 4096
     unsure: float = 0.06
-    narrow: float = 0.01
+    narrow: float = 0.005
     steep: float = 60.0
     _coders: dict = field(default_factory=dict, repr=False, compare=False)
 
@@ -126,15 +126,15 @@ def classified(model: LanguageModel, text: Column) -> Column:
     return predict(text)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", results: list[str] = RESULTS) -> DataFrame:
     """Every document with ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``rejected``.
 
     Null texts and texts without a letter are ``und`` with score 0, and rejected. Repeated rows stay, each judged alike; ties
-    between languages go to the first name, and are rejected as narrow; empty tables give empty results. Input columns named like a
-    result are replaced by it, all others are kept.
+    between languages go to the first name, and are rejected as narrow; empty tables give empty results. ``results`` renames the four;
+    input columns named like a result are replaced by it, all others are kept.
     """
     rows = packed(docs, classified(model, F.col(quoted(text))).alias("found"))
-    return unpacked(rows.select("*", "found.*"), docs.columns, RESULTS)
+    return unpacked(rows.select(ROW, *[F.col(f"found.{c}").alias(n) for c, n in zip(RESULTS, results, strict=True)]), docs.columns, results)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

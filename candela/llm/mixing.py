@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candela.llm.columns import packed, quoted, unpacked
+from candela.llm.columns import ROW, packed, quoted, unpacked
 from candela.llm.registry import query, table
 
 CYCLE = 1000  # slots after which the schedule repeats
@@ -83,7 +83,7 @@ def schedule(parts: DataFrame, cycle: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: DataFrame, key: str = "doc_id", source: str = "source", block: int = BLOCK, cycle: int = CYCLE,
-    ties: list[str] | None = None,
+    ties: list[str] | None = None, results: list[str] = RESULTS,
 ) -> DataFrame:
     """Every row with its ``block`` in its source, the block's ``release``, ``deadline`` and ``slot``, and its ``position``: sorted by
     it, rows are mixed to the target weights.
@@ -91,7 +91,7 @@ def mix(
     Within a source, rows are in the order of their key's MD5, then of the key and ``ties``; ``block`` rows make a block. All rows stay:
     when a source ends, its later positions stay free and the others go on in their shares. A null source is a source of its own, a null
     key is hashed as empty text, repeated rows get positions side by side. A source without a weight is an error; an empty table gives
-    an empty result. Input columns named like a result are replaced by it, all others are kept.
+    an empty result. ``results`` renames the five; input columns named like a result are replaced by it, all others are kept.
     """
     parts, cycle = shares(weights, cycle)
     plan = schedule(parts, cycle)
@@ -126,7 +126,8 @@ def mix(
         slot.cast("long").alias("slot"),
         (slot * block + F.col("_in")).cast("long").alias("position"),
     )
-    return unpacked(placed, docs.columns, RESULTS)
+    named = placed.select(ROW, *[F.col(c).alias(n) for c, n in zip(RESULTS, results, strict=True)])
+    return unpacked(named, docs.columns, results)
 
 
 @query(

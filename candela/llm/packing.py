@@ -16,8 +16,10 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from candela.llm.columns import quoted
 from candela.llm.language import small_batches
@@ -222,6 +224,36 @@ def pack_documents(
     return pack(turn, dealt, ["_turn", "doc_id", "piece"], size, most_open).drop("_turn").withColumn("piece", F.col("piece").cast("int"))
 
 
+def stored_place(docs: DataFrame) -> DataFrame:
+    """Rows with ``_file`` and ``_row``: the file and the row in it that a table read from files holds them at. A table that isn't read
+    from files has one file and no order of its own; its rows are then ordered by doc_id."""
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.select("*", F.lit("").alias("_file"), F.col("doc_id").cast("long").alias("_row"))
+
+
+def pack_in_order(
+    docs: DataFrame, tokenizer: str, text: str = "text", size: int = LENGTH, most_open: int = 64, per_group: int = 4096
+) -> DataFrame:
+    """Pack all documents in the order they are stored in, so that a mixed table stays mixed: sequence numbers rise with the place.
+
+    As ``pack_documents``, but pieces come in their stored order, ``per_group`` rows of a file at a time, and at most ``most_open``
+    sequences wait for a fitting piece.
+    """
+    small_batches(docs.sparkSession)
+    placed = stored_place(docs.withColumn("doc_id", F.col("doc_id").cast("long")) if docs.schema["doc_id"].dataType != LongType() else docs)
+    pieces = checkpointed(pieces_of(placed, tokenizer, ["_file", "_row"], text, size))
+    stretch = F.coalesce(F.floor(F.col("_row") / per_group), F.lit(-1)).cast("long")
+    pieces = pieces.withColumn("_stretch", stretch)
+    # One row for each stretch of rows in a file.
+    groups = pieces.select("_file", "_stretch").distinct()
+    groups = groups.select("*", (F.row_number().over(Window.orderBy("_file", "_stretch")) - 1).cast("long").alias("_number"))
+    rows = pieces.join(groups, ["_file", "_stretch"])
+    packed = pack(rows, F.col("_number"), ["_row", "doc_id", "piece"], size, most_open)
+    return packed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def public_tokenizer(name: str) -> str:
     """A vocabulary file of the installed public tokenizers."""
     import public_tokenizers

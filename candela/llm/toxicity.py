@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.columns import packed, quoted, unpacked
+from candela.llm.columns import ROW, packed, quoted, unpacked
 from candela.llm.language import small_batches
 from candela.llm.registry import held_out, query, table
 
@@ -315,14 +315,14 @@ def scored(model: ToxicityModel, text: Column) -> Column:
     return run(text)
 
 
-def judge(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, model: ToxicityModel, text: str = "text", results: list[str] = RESULTS) -> DataFrame:
     """Every document with ``score`` (0 to 1), ``hits`` and ``rejected`` (score at the model's threshold or above).
 
     Null and empty texts have no hits and get the score of the model's constant. Repeated rows stay, each judged alike; empty tables
-    give empty results. Input columns named like a result are replaced by it, all others are kept.
+    give empty results. ``results`` renames the three; input columns named like a result are replaced by it, all others are kept.
     """
     rows = packed(docs, scored(model, F.col(quoted(text))).alias("found"))
-    return unpacked(rows.select("*", "found.*"), docs.columns, RESULTS)
+    return unpacked(rows.select(ROW, *[F.col(f"found.{c}").alias(n) for c, n in zip(RESULTS, results, strict=True)]), docs.columns, results)
 
 
 def fit_on_learned_part(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
