@@ -9,7 +9,7 @@ _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A well-known 64-bit finaliser: every input bit moves every output bit."""
+    """A well-known 64-bit finaliser of an array: every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from candela.llm.columns import ROW, packed, quoted, unpacked
 from candela.llm.registry import query, table
 
-CYCLE = 1000  # slots after which the schedule repeats
+CYCLE = 2000  # slots after which the schedule repeats
 BLOCK = 64  # documents of a source that stay together
 DIGITS = 3  # hex digits of the hash that part a source's documents: 4096 stretches
 RESULTS = ["block", "release", "deadline", "slot", "position"]
@@ -111,7 +111,7 @@ def mix(
     blocks = numbered.select(
         "*", F.floor(number / block).cast("long").alias("block"), F.pmod(number, F.lit(block)).cast("long").alias("_in")
     )
-    # The plan has a row for each slot of a cycle: cycle is at least 1000, at most twice the number of sources beyond that.
+    # The plan has a row for each slot of a cycle: cycle is at least 2000, at most twice the number of sources beyond that.
     plan = plan.select(F.col("source").alias("_ps"), "parts", "turn", "at")
     met = blocks.join(parts.select(F.col("source").alias("_ws"), F.col("parts").alias("_parts")), F.col("_source").eqNullSafe(F.col("_ws")), "left")
     met = met.withColumn("_parts", F.coalesce("_parts", F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("_source", F.lit("null"))))))
