@@ -182,17 +182,22 @@ def skew_and_kurtosis(spark, folder):
     "deflated_sharpe",
     with_ctes(
         D, R,
-        "m AS (SELECT ticker, avg(ret) / stddev_samp(ret) AS s, count(*) AS n, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM rt GROUP BY 1)",
-        "z AS (SELECT ticker, s, (s - (sqrt(2 * ln(1.05)) * (1 - 0.5772156649 / sqrt(2 * ln(1.05))))) AS gap, sqrt((1 - sk * s + (ku - 1) / 4 * s * s) / (n - 1)) AS se FROM m)",
-        # With one trial nothing is deducted; the normal distribution by Simpson's rule.
-        f"""SELECT ticker, {r('s', 'sharpe')}, {r('0.5 + (s / se) / 6000.0 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(s / se * i / 2000.0, 2)))', 'dsr')}
-          FROM z CROSS JOIN range(2001) t(i) GROUP BY ticker, s, se""",
-    ).replace("(s - (sqrt(2 * ln(1.05)) * (1 - 0.5772156649 / sqrt(2 * ln(1.05))))) AS gap, ", ""),
+        """m AS (SELECT ticker, date_trunc('quarter', ts) AS quarter, sqrt(252) * avg(ret) / stddev_samp(ret) AS s, count(*) AS n, skewness(ret) AS sk,
+          kurtosis(ret) + 3 AS ku FROM rt GROUP BY 1, 2)""",
+        # What the best of ten trials shows by luck.
+        "v AS (SELECT *, (1 - sk * s + (ku - 1) / 4 * s * s) / (n - 1) AS v FROM m)",
+        "c AS (SELECT *, CASE WHEN v > 0 THEN least(greatest((s - (sqrt(2 * ln(10)) - 0.5772156649)) / sqrt(v), -40), 40) END AS z FROM v)",
+        # The normal distribution by Simpson's rule; beyond 40 deviations nothing is left.
+        f"""SELECT ticker, CAST(quarter::DATE AS VARCHAR) AS quarter, {r('coalesce(s, 0)', 'sharpe')}, {r('coalesce(0.5 + z / 12000.0 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(z * i / 4000.0, 2))), 0)', 'dsr')}
+          FROM c CROSS JOIN range(4001) t(i) GROUP BY ticker, quarter, s, z""",
+    ),
 )
 def deflated_sharpe(spark, folder):
-    rows = daily_returns(spark, folder)
-    table = metrics.sharpe(rows, ["ticker"], periods=1).join(metrics.moments(rows, ["ticker"]), "ticker")
-    return shown(metrics.deflated_sharpe(table, trials=1).select("ticker", "sharpe", "dsr"))
+    """Ten trials, so that the best one's luck is deducted; per quarter, where ratios above and below it occur."""
+    rows = daily_returns(spark, folder).withColumn("quarter", F.to_date(F.date_trunc("quarter", "ts")).cast("string"))
+    keys = ["ticker", "quarter"]
+    table = metrics.sharpe(rows, keys, periods=252).join(metrics.moments(rows, keys), keys)
+    return shown(metrics.deflated_sharpe(table, trials=10).select(*keys, "sharpe", "dsr"))
 
 
 @query(
@@ -204,7 +209,7 @@ def deflated_sharpe(spark, folder):
         "sc AS (SELECT ticker, part, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) AS score FROM rt JOIN bl USING (ts) WHERE part < 8 GROUP BY 1, 2)",
         "cb AS (SELECT c FROM range(256) t(c) WHERE bit_count(c::BIGINT) = 4)",
         "sd AS (SELECT c, ticker, avg(score) FILTER (WHERE (c >> part) & 1 = 1) AS ins, avg(score) FILTER (WHERE (c >> part) & 1 = 0) AS outs FROM sc CROSS JOIN cb GROUP BY 1, 2)",
-        "rk AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY outs DESC) AS rk, row_number() OVER (PARTITION BY c ORDER BY ins DESC) AS ri, count(*) OVER (PARTITION BY c) AS k FROM sd)",
+        "rk AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY outs DESC) AS rk, row_number() OVER (PARTITION BY c ORDER BY ins DESC, ticker) AS ri, count(*) OVER (PARTITION BY c) AS k FROM sd)",
         f"SELECT {r('avg((rk > k / 2.0)::INT)', 'pbo')}, count(*) AS n_combinations FROM rk WHERE ri = 1",
     ),
 )
@@ -212,13 +217,48 @@ def overfitting_probability(spark, folder):
     return shown(metrics.overfitting_probability(daily_returns(spark, folder).withColumnRenamed("ticker", "strategy")))
 
 
-_PAIRS = """pr AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov, corr(x.ret, y.ret) AS corr
-  FROM rt x JOIN rt y USING (ts) GROUP BY 1, 2)"""
+def _pbo_cases(k: int) -> list[str]:
+    """The same for the first k times that all strategies share: p blocks, and p over p / 2 combinations."""
+    return [
+        "cl AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT ts FROM rt GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM rt)))",
+        f"c2 AS (SELECT ts, i, count(*) OVER () AS n FROM cl WHERE i < {k})",
+        "bl AS (SELECT ts, i // greatest(1, n // 8) AS part, least(8, n) AS p FROM c2)",
+        "sc AS (SELECT ticker, part, p, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) AS score FROM rt JOIN bl USING (ts) WHERE part < p GROUP BY 1, 2, 3)",
+        "cb AS (SELECT c, p FROM range(256) t(c), (SELECT DISTINCT p FROM bl) WHERE c < pow(2, p) AND bit_count(c::BIGINT) = p // 2)",
+        "sd AS (SELECT c, ticker, avg(score) FILTER (WHERE (c >> part) & 1 = 1) AS ins, avg(score) FILTER (WHERE (c >> part) & 1 = 0) AS outs FROM sc JOIN cb USING (p) GROUP BY 1, 2)",
+        "rk AS (SELECT *, avg(r) OVER (PARTITION BY c, outs) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY outs DESC) AS r, row_number() OVER (PARTITION BY c ORDER BY ins DESC, ticker) AS ri, count(*) OVER (PARTITION BY c) AS k FROM sd))",
+    ]
+
+
+@query(
+    "overfitting_probability_few_times",
+    with_ctes(D, R, *_pbo_cases(5), f"SELECT {r('avg((rk > k / 2.0)::INT)', 'pbo')}, count(*) AS n_combinations FROM rk WHERE ri = 1"),
+)
+def overfitting_probability_few_times(spark, folder):
+    """Fewer times than blocks: five blocks, ten combinations, and ties because one row has no deviation."""
+    rows = daily_returns(spark, folder).withColumnRenamed("ticker", "strategy")
+    shared = rows.groupBy("ts").agg(F.count_distinct("strategy").alias("k"))
+    shared = shared.filter(F.col("k") == rows.agg(F.count_distinct("strategy")).scalar())
+    first = shared.orderBy("ts").limit(5).select("ts")
+    return shown(metrics.overfitting_probability(rows.join(first, "ts", "left_semi")))
+
+
+@query("overfitting_probability_one_strategy", "SELECT 0.0::DOUBLE AS pbo, 0::BIGINT AS n_combinations")
+def overfitting_probability_one_strategy(spark, folder):
+    """Nothing can be overfitted with one strategy."""
+    rows = daily_returns(spark, folder).withColumnRenamed("ticker", "strategy")
+    return shown(metrics.overfitting_probability(rows.withColumn("strategy", F.lit("one")).dropDuplicates(["ts"])))
+
+
+# Covariances over the times that have every ticker.
+_PAIRS = """rc AS (SELECT * FROM rt WHERE ret IS NOT NULL AND ts IN (SELECT ts FROM rt GROUP BY 1 HAVING count(ret) = (SELECT count(DISTINCT ticker) FROM rt))),
+pr AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov, corr(x.ret, y.ret) AS corr
+  FROM rc x JOIN rc y USING (ts) GROUP BY 1, 2)"""
 
 
 @query("covariance_and_correlation", with_ctes(D, R, _PAIRS, f"SELECT a, b, {r('cov', 'cov')}, {r('corr', 'corr')} FROM pr"))
 def covariance_and_correlation(spark, folder):
-    return shown(metrics.pair_moments(daily_returns(spark, folder)))
+    return shown(metrics.pair_moments(daily_returns(spark, folder)).drop("rows"))
 
 
 @query("mean_correlation", with_ctes(D, R, _PAIRS, f"SELECT {r('avg(corr)', 'mean_corr')} FROM pr WHERE a < b"))

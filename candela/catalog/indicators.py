@@ -438,24 +438,37 @@ def indicator_grid(spark, folder):
     return shown(ind.compute(held, built, keep=KEY).select(*KEY, *names))
 
 
+def _five(c: str) -> str:
+    """All five normalisers of a column over 30 rows."""
+    mean, std = _full("avg", c, 30, 15), _full("stddev_samp", c, 30, 15)
+    parts = [
+        r(f"({c} - ({mean})) / nullif({std}, 0)", f"{c}__zscore"), r(f"{c} - ({mean})", f"{c}__mean_sub"),
+        r(f"{c} / nullif({mean}, 0)", f"{c}__mean_div"),
+        r(f"CASE WHEN {c}_n >= 15 AND {c} IS NOT NULL THEN ({c}_less + ({c}_same + 1) / 2.0) / {c}_n END", f"{c}__quantiles"),
+        r(f"({c} - e_{c}.v) / nullif(e_{c}.v, 0)", f"{c}__ema_norm"),
+    ]
+    return ", ".join(parts)
+
+
 @query(
     "normalise_all_features",
     with_ctes(
         B,
         f"x AS (SELECT *, {_full('avg', 'close', 10)} AS sma, (close - {_full('avg', 'close', 10)}) AS gap FROM b)",
-        f"""SELECT ticker, ts, {r('sma', 'sma')}, {r('gap', 'gap')},
-          {r('(sma - (' + _full('avg', 'sma', 30, 15) + ')) / nullif(' + _full('stddev_samp', 'sma', 30, 15) + ', 0)', 'sma__zscore')},
-          {r('(gap - (' + _full('avg', 'gap', 30, 15) + ')) / nullif(' + _full('stddev_samp', 'gap', 30, 15) + ', 0)', 'gap__zscore')},
-          {r('sma - (' + _full('avg', 'sma', 30, 15) + ')', 'sma__mean_sub')},
-          {r('gap - (' + _full('avg', 'gap', 30, 15) + ')', 'gap__mean_sub')} FROM x""",
+        """k AS (SELECT a.ticker, a.pos, count(c.sma) AS sma_n, count(*) FILTER (WHERE c.sma < a.sma) AS sma_less,
+          count(*) FILTER (WHERE c.sma = a.sma) AS sma_same, count(c.gap) AS gap_n, count(*) FILTER (WHERE c.gap < a.gap) AS gap_less,
+          count(*) FILTER (WHERE c.gap = a.gap) AS gap_same FROM x a JOIN x c ON a.ticker = c.ticker AND c.pos BETWEEN a.pos - 29 AND a.pos GROUP BY 1, 2)""",
+        ewm_cte("e_sma", "x", "sma", 2 / 31, 30), ewm_cte("e_gap", "x", "gap", 2 / 31, 30),
+        f"""SELECT ticker, ts, {r('sma', 'sma')}, {r('gap', 'gap')}, {_five('sma')}, {_five('gap')}
+          FROM x JOIN k USING (ticker, pos) JOIN e_sma USING (ticker, pos) JOIN e_gap USING (ticker, pos)""",
     ),
 )
 def normalise_all_features(spark, folder):
-    """Every listed normaliser over every feature column."""
+    """Every normaliser over every feature column."""
     base = ind.compute(event_bars(spark, folder), [ind.smooth("sma", "close", 10, "sma")])
     base = base.withColumn("gap", F.col("close") - F.col("sma"))
     base = base.select(*KEY, "pos", "sma", "gap")
-    return shown(ind.normalise(base, ["sma", "gap"], ["zscore", "mean_sub"], 30).drop("pos"))
+    return shown(ind.normalise(base, ["sma", "gap"], list(ind.NORMALISERS), 30).drop("pos"))
 
 
 @query("feature_table")

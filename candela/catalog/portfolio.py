@@ -300,15 +300,9 @@ def daily_accounting_with_commission(spark, folder):
     return results(spark, folder, 5.0).select("date", "portfolio_value", "benchmark_value", "regime")
 
 
-PROFILES = [
-    backtest.Profile("low", confidence=0.6, cap=0.4, delta=4.0),
-    backtest.Profile("high", confidence=0.8, cap=0.6, delta=1.5),
-]
-
-
 @query("backtest_profiles")
 def backtest_profiles(spark, folder):
-    """Regime, weights and daily accounting of two profiles over the trade bars."""
+    """Regime, weights and daily accounting of the three profiles over the trade bars."""
     bars = number(trade_bars(spark, folder), step=DAY)
-    out = backtest.run_profiles(bars, signals(spark, folder), PROFILES)
+    out = backtest.run_profiles(bars, signals(spark, folder), backtest.PROFILES)
     return out.withColumn("allocations", F.map_entries("allocations"))

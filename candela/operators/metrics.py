@@ -202,57 +202,81 @@ def deflated_sharpe(table: DataFrame, trials: int, benchmark: float = 0.0) -> Da
 # ---- overfitting -------------------------------------------------------------------------------
 
 
-def overfitting_probability(returns: DataFrame, partitions: int = 8, max_combos: int = 100, block: int = BLOCK) -> DataFrame:
+def overfitting_probability(
+    returns: DataFrame, partitions: int = 8, sample: int | None = None, keys: Sequence[str] = (), block: int = BLOCK
+) -> DataFrame:
     """Share of in-sample choices of time blocks whose best strategy ranks below the middle out of sample.
 
-    ``returns(strategy, ts, ret)`` should share one clock; times that lack a strategy are left out. More
-    than ``max_combos`` choices are sampled by hash, so the draw is the same on every run.
+    ``returns(keys, strategy, ts, ret)`` should share one clock in each group; times that lack a strategy are left out, and so are the
+    times after the last of equally long blocks. With fewer times than ``partitions`` each time is a block. All choices of half of the
+    blocks are tried (``sample`` draws so many of them, the same ones on every run). Among equal in-sample scores the first name is
+    best. Fewer than two strategies or two blocks give probability 0 with 0 combinations.
     """
-    n_strategies = returns.agg(F.count_distinct("strategy")).scalar()
-    common = returns.filter(F.col("ret").isNotNull()).groupBy("ts").agg(F.count_distinct("strategy").alias("_c"))
-    clock = common.withColumn("_k", n_strategies).filter(F.col("_c") == F.col("_k")).select(F.lit(1).alias("_all"), "ts")
-    clock = number(clock, ["_all"], block=block)
-    clock = clock.withColumn("_n", clock.agg(F.count(F.lit(1))).scalar())
+    rows = returns.withColumn("_whole", F.lit(1))
+    keys = [*keys, "_whole"]
+    wanted = rows.groupBy(*keys).agg(F.count_distinct("strategy").alias("_k"))
+    common = rows.filter(F.col("ret").isNotNull()).groupBy(*keys, "ts").agg(F.count_distinct("strategy").alias("_c"))
+    clock = common.join(wanted, keys).filter((F.col("_c") == F.col("_k")) & (F.col("_k") >= 2)).select(*keys, "ts")
+    clock = number(clock, keys, block=block)
+    clock = clock.join(clock.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(partitions)))
-    blocks = clock.select("ts", F.floor((F.col("pos") - 1) / size).cast("int").alias("part"), F.least(F.lit(partitions), "_n").alias("_p"))
-    blocks = blocks.filter(F.col("part") < F.col("_p")).drop("_p")
-    scores = returns.join(blocks, "ts").groupBy("strategy", "part").agg(
+    p = F.least(F.lit(partitions), F.col("_n")).cast("int")
+    blocks = clock.select(*keys, "ts", F.floor((F.col("pos") - 1) / size).cast("int").alias("part"), p.alias("_p"))
+    blocks = blocks.filter((F.col("part") < F.col("_p")) & (F.col("_p") >= 2))
+    scores = rows.join(blocks, [*keys, "ts"]).groupBy(*keys, "strategy", "part", "_p").agg(
         F.coalesce(F.try_divide(F.avg("ret"), F.stddev_samp("ret")), F.lit(0.0)).alias("score")
     )
-    # A choice is a bit mask over the blocks; the masks are set by the parameters alone.
-    masks = [m for m in range(2**partitions) if m.bit_count() == partitions // 2]
-    if len(masks) > max_combos:
-        masks = sorted(random.Random(42).sample(masks, max_combos))
+    # A choice is a bit mask over the blocks; the masks are set by the number of blocks alone.
+    masks = {n: [m for m in range(2**n) if m.bit_count() == n // 2] for n in range(2, partitions + 1)}
+    if sample is not None:
+        masks = {n: sorted(random.Random(42).sample(m, sample)) if len(m) > sample else m for n, m in masks.items()}
+    combos = F.create_map(*[x for n, m in masks.items() for x in (F.lit(n), F.lit(m))])
     chosen = F.expr("shiftright(combo, part) & 1") == 1
-    sides = scores.withColumn("combo", F.explode(F.lit(masks))).groupBy("combo", "strategy").agg(
+    sides = scores.withColumn("combo", F.explode(F.element_at(combos, F.col("_p")))).groupBy(*keys, "combo", "strategy").agg(
         F.avg(F.when(chosen, F.col("score"))).alias("inside"), F.avg(F.when(~chosen, F.col("score"))).alias("outside")
     )
-    best = sides.groupBy("combo").agg(
-        F.max_by("outside", F.struct("inside", F.col("strategy"))).alias("_best"), F.count(F.lit(1)).alias("_k")
+    best = sides.groupBy(*keys, "combo").agg(
+        F.min_by("outside", F.struct(-F.col("inside"), F.col("strategy"))).alias("_best"), F.count(F.lit(1)).alias("_k")
     )
     # Average rank of the chosen strategy from the top.
-    ranks = sides.join(best, "combo").groupBy("combo", "_k").agg(
+    ranks = sides.join(best, [*keys, "combo"]).groupBy(*keys, "combo", "_k").agg(
         (F.count_if(F.col("outside") > F.col("_best")) + (F.count_if(F.col("outside") == F.col("_best")) + 1) / 2.0).alias("rank")
     )
-    return ranks.agg(
+    found = ranks.groupBy(*keys).agg(
         F.avg((F.col("rank") > F.col("_k") / 2.0).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_combinations")
     )
+    out = wanted.join(found, keys, "left")
+    out = out.select(*keys, F.coalesce("pbo", F.lit(0.0)).alias("pbo"), F.coalesce("n_combinations", F.lit(0)).alias("n_combinations"))
+    return out.drop("_whole")
 
 
 # ---- co-movement -------------------------------------------------------------------------------
 
 
+def complete_times(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of the times at which every ticker of the group has a return."""
+    rows = returns.withColumn("_whole", F.lit(1))
+    keys = [*keys, "_whole"]
+    known = rows.filter(F.col("ret").isNotNull())
+    width = rows.groupBy(*keys).agg(F.count_distinct("ticker").alias("_k"))
+    full = known.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("_c")).join(width, keys).filter(F.col("_c") == F.col("_k"))
+    return known.join(full.select(*keys, "ts"), [*keys, "ts"], "left_semi").drop("_whole")
+
+
 def pair_moments(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Covariance and correlation of every ordered pair of tickers over their common rows.
+    """Covariance and correlation of every ordered pair of tickers, and the number of ``rows``, over the times that have every ticker.
 
     One aggregate per pair with map-side combine; rows meet on ``ts``, so a pair is never one task's.
     """
     keys = list(keys)
-    a = returns.select(*keys, "ts", F.col("ticker").alias("a"), F.col("ret").alias("_x"))
-    b = returns.select(*keys, "ts", F.col("ticker").alias("b"), F.col("ret").alias("_y"))
+    rows = complete_times(returns, keys)
+    a = rows.select(*keys, "ts", F.col("ticker").alias("a"), F.col("ret").alias("_x"))
+    b = rows.select(*keys, "ts", F.col("ticker").alias("b"), F.col("ret").alias("_y"))
     cov = F.covar_samp("_x", "_y")
     half = a.join(b, keys + ["ts"]).filter("a <= b").groupBy(*keys, "a", "b").agg(
-        cov.alias("cov"), F.try_divide(cov, F.stddev_samp("_x") * F.stddev_samp("_y")).alias("corr")
+        cov.alias("cov"),
+        F.try_divide(cov, F.stddev_samp("_x") * F.stddev_samp("_y")).alias("corr"),
+        F.count(F.lit(1)).alias("rows"),
     )
     return mirrored(half, keys)
 
@@ -262,7 +286,8 @@ def mirrored(half: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     )
-    return half.select(*keys, F.explode(ways).alias("_w"), "cov", "corr").select(*keys, "_w.a", "_w.b", "cov", "corr")
+    values = ["cov", "corr", "rows"]
+    return half.select(*keys, F.explode(ways).alias("_w"), *values).select(*keys, "_w.a", "_w.b", *values)
 
 
 def mean_correlation(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

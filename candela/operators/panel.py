@@ -69,8 +69,7 @@ def latest_on_day(signals: DataFrame, days: DataFrame, values: Sequence[str]) ->
 def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, until=None) -> DataFrame:
     """``date`` with the panel rows in ``[date - span, date]`` (and before ``until``).
 
-    Days and rows meet on 30-day buckets of time, so the join is an equi-join. The calendar side is
-    broadcast: it has one row per calendar day and bucket, under 5000 a year whatever the data's size.
+    Days and rows meet on 30-day buckets of time, so the join is an equi-join; the planner broadcasts the calendar if it is small.
     """
     width = 30
     bucket = lambda days_since: F.floor(days_since / F.lit(width))
@@ -82,7 +81,7 @@ def trailing_slices(panel: DataFrame, days: DataFrame, span_days: int = 365, unt
     rows = rows.withColumn("_bucket", bucket(F.unix_date(F.to_date("ts"))))
     start = F.col("date").cast("timestamp") - F.expr(f"INTERVAL {span_days * 24} HOURS")
     return (
-        rows.join(F.broadcast(d), "_bucket")
+        rows.join(d, "_bucket")
         .withColumn("_start", start)
         .filter((F.col("ts") >= F.col("_start")) & (F.col("ts") <= F.col("date").cast("timestamp")))
         .drop("_bucket")
@@ -132,7 +131,7 @@ def cell_moments(rows: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
     x, y = F.col("_a.ret"), F.col("_b.ret")
     cov = F.covar_samp(x, y)
     half = both.groupBy(*keys, F.col("_a.ticker").alias("a"), F.col("_b.ticker").alias("b")).agg(
-        cov.alias("cov"), F.try_divide(cov, F.stddev_samp(x) * F.stddev_samp(y)).alias("corr")
+        cov.alias("cov"), F.try_divide(cov, F.stddev_samp(x) * F.stddev_samp(y)).alias("corr"), F.count(F.lit(1)).alias("rows")
     )
     return mirrored(half, keys)
 

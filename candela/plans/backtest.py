@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.operators import cleaning, metrics, panel, portfolio
@@ -23,6 +23,14 @@ class Profile:
     tau: float = 0.05
 
 
+# The three profiles' confidence, largest weight, risk aversion and looseness of the prior.
+PROFILES = [
+    Profile("low", confidence=0.65, cap=0.25, delta=3.5, tau=0.05),
+    Profile("medium", confidence=0.70, cap=0.30, delta=2.5, tau=0.05),
+    Profile("high", confidence=0.75, cap=0.40, delta=1.5, tau=0.05),
+]
+
+
 def daily_weights(bars: DataFrame, signals: DataFrame, days: DataFrame, profiles: Sequence[Profile], until=None) -> DataFrame:
     """Weights for the days with enough history and signals: ``profile, date, regime, optimizer, ticker, weight``.
 
@@ -39,26 +47,28 @@ def daily_weights(bars: DataFrame, signals: DataFrame, days: DataFrame, profiles
     states = checkpointed(states.select("date", "regime", portfolio.optimizer_for("regime").alias("optimizer")))
     of = lambda df, name: df.join(states.filter(F.col("optimizer") == name).select("date"), "date", "left_semi")
     kelly = of(portfolio.kelly_facts(facts), "Kelly")
-    moments = metrics.mirrored(facts.select("date", "a", "b", "cov", "corr"), ["date"])
+    moments = metrics.mirrored(facts.select("date", "a", "b", "cov", "corr", "rows"), ["date"])
     # A ticker of the window without a signal counts as a neutral one.
     held = facts.filter("a = b").select("date", F.col("a").alias("ticker"))
     held = held.join(signals, ["date", "ticker"], "left").select("date", "ticker", F.coalesce("strength", F.lit(0.0)).alias("strength"))
     held = checkpointed(held)
-    out = None
-    for p in profiles:
-        parts = [
-            portfolio.kelly_weights(kelly, held, p.confidence, p.cap),
-            portfolio.hrp_weights(of(moments, "HRP"), held, confidence=p.confidence, cap=p.cap),
-            portfolio.black_litterman_weights(
-                of(moments, "Black-Litterman"), held, confidence=p.confidence, cap=p.cap, delta=p.delta, tau=p.tau
-            ),
-        ]
-        for part in parts:
-            part = part.withColumn("profile", F.lit(p.name))
-            out = part if out is None else out.unionByName(part)
+    settings = profile_table(bars.sparkSession, profiles)
+    parts = [
+        portfolio.kelly_weights(kelly, held, settings=settings),
+        portfolio.hrp_weights(of(moments, "HRP"), held, settings=settings),
+        portfolio.black_litterman_weights(of(moments, "Black-Litterman"), held, settings=settings),
+    ]
+    columns = ["profile", "date", "ticker", "weight"]
+    out = parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))
     return states.join(out, "date")
 
 
+def profile_table(spark: SparkSession, profiles: Sequence[Profile]) -> DataFrame:
+    """One row for each profile."""
+    rows = [(p.name, p.confidence, p.cap, p.delta, p.tau) for p in profiles]
+    return spark.createDataFrame(rows, "profile string, confidence double, cap double, delta double, tau double")
+
+
 def account(
     weights: DataFrame, states: DataFrame, bars: DataFrame, confidence: DataFrame, capital: float = 1_000.0, commission_bps: float = 0.0
 ) -> DataFrame:
@@ -158,6 +168,10 @@ def engine_weights(
     Long tickers only (all if none is long), the last rows of the price panel, one optimisation, zeros for
     the rest, and the previous weights when the change is below the threshold.
     """
+    broken = cleaning.check_prices(prices.filter(F.col("ts").isNotNull()), ["close"], at_least=10)
+    rules = [r["rule"] for r in broken.limit(3).collect()]
+    if rules:
+        raise ValueError(f"prices can't be used: {', '.join(rules)}")
     settings = ENGINE_DEFAULTS.get(profile, ENGINE_DEFAULTS["other"])
     whole = signals.withColumn("_all", F.lit(1))
     longs = cleaning.long_only(whole, ["_all"]).select("ticker")

@@ -23,9 +23,11 @@ def evaluate_folds(predictions: DataFrame, commission_bps: float = 1.0, risk_fre
 
 
 def report(
-    predictions: DataFrame, commission_bps: float = 1.0, risk_free: float = 0.0, periods: int = 252, trials: int = 10
-) -> DataFrame:
-    """One row per ticker: means over folds, total growth of the joined folds, and deflated Sharpe ratio."""
+    predictions: DataFrame, commission_bps: float = 1.0, risk_free: float = 0.0, periods: int = 252, trials: int = 10,
+    partitions: int = 8,
+) -> DataFrame:
+    """One row per ticker: means over folds, total growth of the joined folds, deflated Sharpe ratio, and the probability of overfitting
+    with the folds' net returns as strategies."""
     folds = evaluate_folds(predictions, commission_bps, risk_free, periods)
     per_fold = F.sort_array(F.collect_list(F.struct("fold", *SCORES, "sharpe_gross")))
     means = folds.groupBy("ticker").agg(
@@ -41,4 +43,9 @@ def report(
     )
     out = means.join(growth, "ticker").join(metrics.moments(net, ["ticker"]), "ticker")
     out = metrics.deflated_sharpe(out.withColumn("sharpe", F.col("mean_sharpe")), trials)
+    strategies = metrics.strategy_returns(predictions, commission_bps).select(
+        "ticker", F.col("fold").cast("string").alias("strategy"), "ts", F.col("strategy_return_net").alias("ret")
+    )
+    risk = metrics.overfitting_probability(strategies, partitions, keys=["ticker"])
+    out = out.join(risk.select("ticker", F.round("pbo", 4).alias("pbo"), F.col("n_combinations").alias("pbo_n_combinations")), "ticker")
     return out.withColumn("dsr", F.round("dsr", 4)).withColumn("dsr_trials", F.lit(trials)).drop("sharpe")

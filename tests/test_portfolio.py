@@ -21,15 +21,30 @@ def test_mean_variance_beats_every_grid_point():
         assert cost(w) <= min(cost(g) for g in grid) + 1e-9
 
 
-def test_cap_on_columns_equals_cap_on_vectors(spark):
+def cap_by_rounds(raw, cap):
+    """What exceeds the cap moves in equal parts to the others, for 200 rounds."""
+    w = np.maximum(raw, 0.0)
+    if w.sum() <= 0:
+        return np.full(len(w), 1.0 / len(w))
+    w = w / w.sum()
+    for _ in range(200):
+        high = w > cap
+        if high.any():
+            spare = (w[high] - cap).sum() / max(1, (~high).sum()) * (not high.all())
+            w = np.where(high, cap, w + spare)
+    return w / w.sum()
+
+
+def test_cap_on_columns_equals_cap_by_rounds(spark):
     rng = np.random.default_rng(2)
     cases = [rng.normal(size=4) for _ in range(20)] + [np.array([-1.0, -2.0, -3.0, 0.0]), np.array([9.0, 1.0, 0.0, 0.0])]
+    cases += [np.array([0.7, 0.3]), np.array([1.0]), np.array([0.9, 0.05, 0.05])]
     rows = [(i, f"t{k}", float(x)) for i, case in enumerate(cases) for k, x in enumerate(case)]
     got = portfolio.cap_weights(spark.createDataFrame(rows, "g int, ticker string, weight double"), ["g"], 0.4).toPandas()
     for i, case in enumerate(cases):
         w = got[got.g == i].sort_values("ticker").weight.to_numpy()
-        np.testing.assert_allclose(w, portfolio.cap_vector(case, 0.4), atol=1e-12)
-        assert abs(w.sum() - 1) < 1e-12 and w.max() <= 0.4 + 1e-9 or (case <= 0).all()
+        np.testing.assert_allclose(w, cap_by_rounds(case, 0.4), atol=1e-9)
+        assert abs(w.sum() - 1) < 1e-12 and (w.max() <= 0.4 + 1e-9 or (case <= 0).all() or len(case) < 3)
 
 
 def test_merge_order_keeps_close_tickers_together():
@@ -40,12 +55,88 @@ def test_merge_order_keeps_close_tickers_together():
 
 def test_black_litterman_leans_towards_the_view():
     cov = np.diag([0.0004, 0.0004, 0.0004])
-    even = portfolio.black_litterman_vector(cov, np.zeros(3), 0.7, 0.9)
-    np.testing.assert_allclose(even, 1 / 3, atol=1e-9)
-    tilted = portfolio.black_litterman_vector(cov, np.array([1.0, 0.0, -1.0]), 0.7, 0.9)
+    even = portfolio.black_litterman_vector(cov, np.zeros(3), 0.7)
+    np.testing.assert_allclose(even / even.sum(), 1 / 3, atol=1e-9)
+    tilted = portfolio.black_litterman_vector(cov, np.array([1.0, 0.0, -1.0]), 0.7)
     assert tilted[0] > tilted[1] > tilted[2]
 
 
+def test_black_litterman_equals_the_two_inverse_form():
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(5, 5)) * 0.01
+    cov, strength = a @ a.T, np.array([0.4, np.nan, -0.2, 0.9, np.nan])
+    sigma, seen = cov * 252 + np.eye(5) * 1e-6, [0, 2, 3]
+    pick = np.eye(5)[seen]
+    doubt = np.diag(0.3 / 0.7 * 0.05 * np.diag(sigma)[seen] + 1e-8)
+    precision = np.linalg.inv(0.05 * sigma)
+    posterior = np.linalg.inv(precision + pick.T @ np.linalg.inv(doubt) @ pick)
+    view = strength[seen] * np.sqrt(np.diag(sigma)[seen] / 252)
+    mean = posterior @ (precision @ (2.5 * sigma @ np.full(5, 0.2)) + pick.T @ np.linalg.inv(doubt) @ view)
+    want = np.linalg.solve(2.5 * (sigma + posterior), mean)
+    np.testing.assert_allclose(portfolio.black_litterman_vector(cov, strength, 0.7), want, rtol=1e-6)
+
+
+def test_parity_shares_against_cluster_variance():
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(6, 6))
+    cov, order = a @ a.T, [3, 0, 5, 1, 4, 2]
+
+    def variance(part):
+        inverse = 1 / np.diag(cov)[part]
+        return inverse @ cov[np.ix_(part, part)] @ inverse / inverse.sum() ** 2
+
+    want = np.ones(6)
+
+    def share(part):
+        if len(part) > 1:
+            left, right = part[: len(part) // 2], part[len(part) // 2 :]
+            a, b = variance(left), variance(right)
+            want[left] *= b / (a + b)
+            want[right] *= a / (a + b)
+            share(left)
+            share(right)
+
+    share(order)
+    np.testing.assert_allclose(portfolio.parity_weights(cov, order, 0.0), want, rtol=1e-9)
+
+
+def test_short_history_gives_equal_weights(spark):
+    rows = [("a", "a", 0.1, 1.0), ("a", "b", 0.0, 0.0), ("b", "a", 0.0, 0.0), ("b", "b", 0.4, 1.0)]
+    strength = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.5)], "date int, ticker string, strength double")
+    for n, equal in ((19, True), (20, False)):
+        moments = spark.createDataFrame([(1, *r, n) for r in rows], "date int, a string, b string, cov double, corr double, rows int")
+        for weights in (portfolio.hrp_weights, portfolio.black_litterman_weights):
+            got = [r["weight"] for r in weights(moments, strength, cap=0.9).collect()]
+            assert (abs(got[0] - got[1]) < 1e-12) == equal and abs(sum(got) - 1) < 1e-12
+
+
+def test_settings_give_each_profile_its_weights(spark):
+    rows = [("a", "a", 0.1, 1.0), ("a", "b", 0.01, 0.05), ("b", "a", 0.01, 0.05), ("b", "b", 0.4, 1.0)]
+    moments = spark.createDataFrame([(1, *r, 99) for r in rows], "date int, a string, b string, cov double, corr double, rows int")
+    strength = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.5)], "date int, ticker string, strength double")
+    profiles = [backtest.Profile("x", 0.5, 0.8, 2.0), backtest.Profile("y", 0.9, 0.6, 3.0)]
+    settings = backtest.profile_table(spark, profiles)
+    for weights, more in ((portfolio.hrp_weights, ()), (portfolio.black_litterman_weights, ("delta", "tau"))):
+        got = {(r["profile"], r["ticker"]): r["weight"] for r in weights(moments, strength, settings=settings).collect()}
+        for p in profiles:
+            alone = weights(moments, strength, confidence=p.confidence, cap=p.cap, **{k: getattr(p, k) for k in more})
+            assert {(p.name, r["ticker"]): r["weight"] for r in alone.collect()} == {k: w for k, w in got.items() if k[0] == p.name}
+
+
+def test_mean_variance_without_convergence_is_an_error():
+    with pytest.raises(ArithmeticError):
+        portfolio.mean_variance_vector(np.array([0.1, 0.2]), np.eye(2) * 0.01, np.zeros(2), 3.0, 0.001, rounds=1)
+
+
+def test_engine_refuses_bad_prices(spark):
+    _, bars = prices(spark)
+    signals = spark.createDataFrame([("t0", 1)], "ticker string, signal int")
+    with pytest.raises(ValueError, match="missing prices"):
+        backtest.engine_weights(bars.withColumn("close", F.when(F.col("ticker") != "t1", F.col("close"))), signals)
+    with pytest.raises(ValueError, match="too few rows"):
+        backtest.engine_weights(bars.limit(5), signals)
+
+
 def prices(spark, n=90, seed=5):
     rng = np.random.default_rng(seed)
     frames = []
@@ -91,8 +182,7 @@ def test_moments_match_numpy(spark):
     got = metrics.pair_moments(rets).toPandas()
     wide = rets.toPandas().pivot(index="ts", columns="ticker", values="ret")
     for r in got.itertuples():
-        both = wide[[r.a, r.b]].dropna() if r.a != r.b else wide[[r.a]].dropna()
-        want = both.cov().iloc[0, -1]
+        want = wide.dropna().cov().loc[r.a, r.b]
         assert abs(r.cov - want) < 1e-12
 
 
