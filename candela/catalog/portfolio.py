@@ -200,7 +200,7 @@ def capped_weights(spark, folder):
     "SELECT date::DATE AS date, ticker, round(w[i], 5) + 0.0 AS weight FROM ce JOIN nm USING (date)", recursive=True,
 ))
 def kelly_weights(spark, folder):
-    facts = portfolio.kelly_facts(portfolio.window_facts(windows(spark, folder)[0]))
+    facts = portfolio.own_facts(windows(spark, folder)[0])
     strength = panel.latest_on_day(signals(spark, folder), days_of(trade_bars(spark, folder)), ["signal_strength"])
     return shown(portfolio.kelly_weights(facts, strength.withColumnRenamed("signal_strength", "strength"), cap=0.45), 5)
 

@@ -12,16 +12,20 @@ from candela.operators.timeline import BLOCK, bounded, number, running
 from candela.session import checkpointed
 
 
-WIDEST = 1_000_000  # tickers of one panel: their list, some tens of megabytes then, travels to every task
+CHUNK = 10_000  # names that travel in one row, about
 
 
-def ticker_list(df: DataFrame, column: str = "ticker") -> Column:
-    """The sorted tickers of a table as one array value (an error beyond WIDEST)."""
-    names = df.select(column).distinct().agg(F.sort_array(F.collect_set(column)).alias("_names"))
-    checked = F.when(F.size("_names") <= WIDEST, F.col("_names")).otherwise(
-        F.raise_error(F.lit(f"a panel holds at most {WIDEST} tickers"))
-    )
-    return names.select(checked).scalar()
+def with_each(df: DataFrame, names: DataFrame, column: str = "ticker") -> DataFrame:
+    """Every row of ``df`` with every name of a table's column, as the panel's definition asks for.
+
+    Names are packed into rows of about ``CHUNK``; rows meet them by an equi-join on the chunk's number, whatever their count.
+    """
+    each = names.select(column).filter(F.col(column).isNotNull()).distinct()
+    chunks = max(1, -(-each.count() // CHUNK))
+    number = F.pmod(F.xxhash64(column), F.lit(chunks)).cast("int")
+    packed = each.groupBy(number.alias("_chunk")).agg(F.collect_list(column).alias("_names"))
+    spread = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return spread.join(packed, "_chunk").withColumn(column, F.explode("_names")).drop("_chunk", "_names")
 
 
 def align_panel(bars: DataFrame, columns: Sequence[str] = ("close",), block: int = BLOCK) -> DataFrame:
@@ -29,8 +33,7 @@ def align_panel(bars: DataFrame, columns: Sequence[str] = ("close",), block: int
 
     ``seen`` is the time of the bar a row's values come from.
     """
-    clock = bars.select("ts").distinct().withColumn("ticker", ticker_list(bars))
-    grid = clock.withColumn("ticker", F.explode("ticker")).join(
+    grid = with_each(bars.select("ts").distinct(), bars).join(
         bars.select("ticker", "ts", *columns, F.col("ts").alias("_at")), ["ticker", "ts"], "left"
     )
     fills = {f"_f_{c}": ("last", F.col(c)) for c in columns} | {"seen": ("last", F.col("_at"))}
@@ -137,10 +140,9 @@ def cell_moments(rows: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
 
 
 def spread_weights(weights: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weights for the whole universe (0 where absent), brought back to sum 1 per group."""
+    """Weights for the whole universe (0 where absent), brought back to sum 1 per group. Tickers outside the universe have no weight."""
     keys = list(keys)
-    groups = weights.select(*keys).distinct().withColumn("ticker", ticker_list(universe))
-    full = groups.withColumn("ticker", F.explode("ticker")).join(weights, keys + ["ticker"], "left")
+    full = with_each(weights.select(*keys).distinct(), universe).join(weights, keys + ["ticker"], "left")
     total = full.groupBy(*keys).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("_total"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("_total") > 0, F.coalesce("weight", F.lit(0.0)) / F.nullif("_total", F.lit(0.0)))
     return full.join(total, keys).select(*keys, "ticker", F.coalesce(share, 1.0 / F.col("_n")).alias("weight"))

@@ -75,13 +75,13 @@ def account(
     """The daily result table from weights ``(profile, date, ticker, weight)`` of some days.
 
     Days without weights of their own keep the last ones (equal weights at the start); each day earns the
-    next trading day's returns.
+    next trading day's returns. A ticker that isn't traded keeps its weight and earns nothing. The result has the whole universe in
+    one map a day, so the equal weights are a map of that size too.
     """
     daily = checkpointed(panel.daily_returns(panel.daily_last(panel.align_panel(bars))))
     universe = daily.select("ticker").distinct()
     days = daily.select("date").distinct()
-    profiles = panel.ticker_list(weights, "profile")
-    full = panel.spread_weights(weights, universe, ["profile", "date"])
+    full = panel.spread_weights(weights, universe.union(weights.select("ticker")).distinct(), ["profile", "date"])
     sets = full.groupBy("profile", "date").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "weight")))).alias("_w")
     )
@@ -89,9 +89,9 @@ def account(
     # One row per profile and day from here on: the calendar's length.
     order = Window.partitionBy("profile").orderBy("date")
     marked = sets.join(states, "date", "left")
-    calendar = days.withColumn("_open", F.lit(True)).withColumn("profile", profiles)
-    calendar = calendar.withColumn("profile", F.explode("profile")).join(marked, ["profile", "date"], "full")
-    calendar = calendar.join(confidence, "date", "left").withColumn("_t", panel.ticker_list(universe))
+    calendar = panel.with_each(days.withColumn("_open", F.lit(True)), weights, "profile").join(marked, ["profile", "date"], "full")
+    traded = universe.agg(F.sort_array(F.collect_list("ticker"))).scalar()
+    calendar = calendar.join(confidence, "date", "left").withColumn("_t", traded)
     held = calendar.select(
         "profile",
         "date",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
+from math import ceil, log2
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -42,32 +43,46 @@ GRIDS: dict[str, dict[str, list]] = {
     },
 }
 BOOSTERS = ("xgboost", "lightgbm", "catboost")
-DEEPEST = 20  # Spark trees need a limit where the grid says none.
+DEEPEST = 30  # Spark's own limit of a tree's depth
 
 
-def estimator(name: str, params: dict, seed: int = 42):
-    """The Spark classifier that stands for a model name; parameters without a Spark twin are ignored."""
+def spark_form(name: str, params: dict, deepest: int = DEEPEST) -> dict:
+    """What a combination means to Spark's trees: parameters that have no twin there leave it unchanged, so that combinations with the
+    same form need one fit. No depth limit becomes ``deepest``; a greater depth than Spark's is an error.
+
+    A split of at least n rows leaves halves of n / 2 on average, and l leaves need a depth of log2(l): these stand for
+    ``min_samples_split``, and for ``num_leaves`` where the depth is open.
+    """
+    if name not in ("random_forest", *BOOSTERS):
+        raise ValueError(f"model must be random_forest or one of {BOOSTERS}, got {name!r}")
     depth = params.get("max_depth", params.get("depth", 5))
-    depth = DEEPEST if depth is None or depth < 0 else int(depth)
-    trees = int(params.get("n_estimators", params.get("iterations", 100)))
-    common = {"featuresCol": "features", "labelCol": "target", "weightCol": "weight", "maxDepth": depth, "seed": seed}
+    if depth is None or depth < 0:
+        depth = ceil(log2(params["num_leaves"])) if params.get("num_leaves") else deepest
+    if depth > DEEPEST:
+        raise ValueError(f"Spark's trees are at most {DEEPEST} deep, got {depth}")
+    form = {"trees": int(params.get("n_estimators", params.get("iterations", 100))), "depth": int(depth)}
     if name == "random_forest":
-        return RandomForestClassifier(
-            numTrees=trees,
-            minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
-            featureSubsetStrategy=str(params.get("max_features", "sqrt")),
-            **common,
-        )
-    if name in BOOSTERS:
-        return GBTClassifier(
-            maxIter=trees,
-            stepSize=float(params.get("learning_rate", 0.1)),
-            subsamplingRate=float(params.get("subsample", 1.0)),
-            featureSubsetStrategy=str(params.get("colsample_bytree", "all")) if params.get("colsample_bytree", 1.0) < 1 else "all",
-            minInstancesPerNode=int(params.get("min_child_weight", 1)),
-            **common,
-        )
-    raise ValueError(f"model must be random_forest or one of {BOOSTERS}, got {name!r}")
+        half = ceil(int(params.get("min_samples_split", 2)) / 2)
+        return form | {
+            "rows": max(int(params.get("min_samples_leaf", 1)), half), "features": str(params.get("max_features", "sqrt"))
+        }
+    share = params.get("colsample_bytree", 1.0)
+    return form | {
+        "rows": int(params.get("min_child_weight", 1)), "features": str(share) if share < 1 else "all",
+        "step": float(params.get("learning_rate", 0.1)), "sample": float(params.get("subsample", 1.0)),
+    }
+
+
+def estimator(name: str, params: dict, seed: int = 42, deepest: int = DEEPEST):
+    """The Spark classifier that stands for a model name and its parameters."""
+    form = spark_form(name, params, deepest)
+    common = {
+        "featuresCol": "features", "labelCol": "target", "weightCol": "weight", "maxDepth": form["depth"], "seed": seed,
+        "minInstancesPerNode": form["rows"], "featureSubsetStrategy": form["features"],
+    }
+    if name == "random_forest":
+        return RandomForestClassifier(numTrees=form["trees"], **common)
+    return GBTClassifier(maxIter=form["trees"], stepSize=form["step"], subsamplingRate=form["sample"], **common)
 
 
 def prepared(samples: DataFrame) -> DataFrame:
@@ -77,8 +92,8 @@ def prepared(samples: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, features: Sequence[str], name: str, params: dict) -> PipelineModel:
-    """Fit on prepared samples."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """Fit on prepared samples; a missing feature is an error, so callers fill or drop such rows in the open."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return Pipeline(stages=[assembler, estimator(name, params)]).fit(train)
 
 
@@ -129,25 +144,31 @@ def mean_auc(predictions: DataFrame) -> DataFrame:
     return by_fold.groupBy("ticker").agg(F.avg("auc").alias("score"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def sampled_grid(grid: dict[str, list], limit: int = 50, seed: int = 42) -> list[dict]:
-    """All combinations of a grid, or ``limit`` of them drawn by hash (the same ones on every run)."""
+def sampled_grid(grid: dict[str, list], limit: int | None = None, seed: int = 42) -> list[dict]:
+    """All combinations of a grid; with ``limit``, so many of them drawn by hash (the same ones on every run)."""
     combos = choices(grid)
-    if len(combos) <= limit:
+    if limit is None or len(combos) <= limit:
         return combos
     texts = [json.dumps(c, sort_keys=True) for c in combos]
     drawn = sorted(texts, key=lambda t: hashlib.md5(f"{seed}:{t}".encode()).hexdigest())[:limit]
     return [json.loads(t) for t in drawn]
 
 
-def grid_search(rows: DataFrame, features: Sequence[str], name: str, grid: dict[str, list], limit: int = 50) -> DataFrame:
-    """``ticker, rank, params, score, n_folds`` for every combination tried."""
+def grid_search(rows: DataFrame, features: Sequence[str], name: str, grid: dict[str, list], limit: int | None = None) -> DataFrame:
+    """``ticker, rank, params, score, n_folds`` for every combination, or for ``limit`` drawn ones.
+
+    Combinations that mean the same to Spark's trees are fitted once and share their score.
+    """
     pairs = fold_list(rows)
-    out = None
+    alike: dict[str, list[tuple[int, str]]] = {}
     for rank, params in enumerate(sampled_grid(grid, limit)):
-        scored = mean_auc(fold_predictions(rows, features, name, params, pairs))
-        scored = scored.select(
-            "ticker", F.lit(rank).alias("rank"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "score", "n_folds"
-        )
+        form = json.dumps(spark_form(name, params), sort_keys=True)
+        alike.setdefault(form, []).append((rank, json.dumps(params, sort_keys=True)))
+    out = None
+    for same in alike.values():
+        scored = mean_auc(fold_predictions(rows, features, name, json.loads(same[0][1]), pairs))
+        tried = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(p).alias("params")) for k, p in same])
+        scored = scored.withColumn("_t", F.explode(tried)).select("ticker", "_t.rank", "_t.params", "score", "n_folds")
         out = scored if out is None else out.unionByName(scored)
     return out
 
@@ -166,18 +187,19 @@ def single_feature_auc(samples: DataFrame, features: Sequence[str]) -> DataFrame
 
 
 def forward_selection(
-    rows: DataFrame, features: Sequence[str], name: str = "random_forest", params: dict | None = None, most: int = 5, min_gain: float = 0.001
-) -> list[dict]:
+    rows: DataFrame, features: Sequence[str], name: str = "random_forest", params: dict | None = None, most: int | None = None,
+    min_gain: float = 0.001,
+) -> list[dict]:
     """Greedy selection for one ticker's rows: add the feature with the best mean fold AUC while it gains.
 
-    The first feature is always taken. Each step scores all candidates in one metric job.
+    The first feature is always taken; ``most`` ends the choice at so many. Each step scores all candidates in one metric job.
     """
     params = params or {"n_estimators": 100, "max_depth": 5}
     pairs = fold_list(rows)
     chosen: list[str] = []
     trace: list[dict] = []
     best = 0.0
-    for step in range(min(most, len(features))):
+    for step in range(len(features) if most is None else min(most, len(features))):
         candidates = [f for f in features if f not in chosen]
         scored = None
         for i, candidate in enumerate(candidates):
@@ -223,8 +245,9 @@ def predict(model: PipelineModel, table: DataFrame, features: Sequence[str], cut
 
 
 def train(
-    samples: DataFrame, folds: DataFrame, features: Sequence[str], ticker: str, name: str, grid: dict[str, list], most: int = 5, limit: int = 50
-) -> tuple[PipelineModel, list[str], DataFrame, DataFrame]:
+    samples: DataFrame, folds: DataFrame, features: Sequence[str], ticker: str, name: str, grid: dict[str, list], most: int | None = None,
+    limit: int | None = None,
+) -> tuple[PipelineModel, list[str], DataFrame, DataFrame]:
     """Select features, search the grid and fit on all samples of one ticker.
 
     Returns the model, its features, the search results and the fold predictions of the best parameters.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.operators.cleaning import normalise_ohlcv, with_history
@@ -31,15 +31,34 @@ def read_ohlcv(
     ).dropna(subset=["ts", "close"])
 
 
+# A comma outside quotes.
+COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    """Cells of a CSV line, without quotes and outer blanks."""
+    return F.transform(F.split(line, COMMA), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(f"{path.rstrip('/')}/*.csv").select("value", F.col("_metadata.file_name").alias("file"))
+    return lines.withColumn("is_header", F.exists(_cells(F.lower("value")), lambda c: c.isin("close", "adj close", "adj_close")))
+
+
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file``: CSV files of a folder that ``read_ohlcv_folder`` can't use, because no line names a close column."""
+    return _lines(spark, path).groupBy("file").agg(F.max("is_header").alias("_h")).filter(~F.col("_h")).select("file")
+
+
 def read_ohlcv_folder(spark: SparkSession, path: str, at_least: int = 100) -> DataFrame:
     """Bars of all CSV files of a folder; the ticker comes from the file name (``BTC-USD_1h.csv`` → BTC).
 
-    Files may order and spell their columns differently and may repeat the ticker in a second header
-    line. An hourly file is preferred to a daily one. Lines are read as text so that large files split.
+    Files may order and spell their columns differently, quote cells, and repeat the ticker in a second header
+    line. An hourly file is preferred to a daily one. Lines are read as text so that large files split. Files
+    without a close column are left out; ``rejected_files`` lists them.
     """
-    lines = spark.read.text(f"{path.rstrip('/')}/*.csv").select("value", F.col("_metadata.file_name").alias("file"))
-    is_header = F.lower("value").contains("close")
-    headers = lines.filter(is_header).groupBy("file").agg(F.min("value").alias("header"))
+    lines = _lines(spark, path)
+    headers = lines.filter("is_header").groupBy("file").agg(F.min("value").alias("header"))
     stem = F.regexp_replace(F.regexp_replace("file", r"\.csv$", ""), "%20", " ")
     hourly = stem.endswith("_1h")
     ticker = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, "_1h", ""), "-USD", ""), "-", "")
@@ -48,11 +67,13 @@ def read_ohlcv_folder(spark: SparkSession, path: str, at_least: int = 100) -> Da
         F.coalesce(F.max(F.when(F.col("hourly"), F.col("file"))), F.min("file")).alias("file")
     )
     files = files.join(best, ["ticker", "file"])
-    cells = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
-    rows = lines.filter(~is_header).join(files, "file")
-    named = F.map_from_arrays(cells(F.lower(F.concat(F.lit("_first"), F.col("header")))), cells("value"))
-    rows = rows.select("ticker", cells("value")[0].alias("_date"), named.alias("_cell"))
-    value = lambda name: F.try_element_at("_cell", F.lit(name)).try_cast("double")
+    rows = lines.filter("NOT is_header").join(files, "file")
+    names = _cells(F.lower("header"))
+    # The first column holds the date, whatever its name.
+    names = F.transform(names, lambda c, i: F.when(i == 0, F.lit("_first")).otherwise(c))
+    named = F.map_from_arrays(names, F.slice(F.concat(_cells(F.col("value")), F.array_repeat(F.lit(""), F.size(names))), 1, F.size(names)))
+    rows = rows.select("ticker", _cells(F.col("value"))[0].alias("_date"), named.alias("_cell"))
+    value = lambda name: F.replace(F.try_element_at("_cell", F.lit(name)), F.lit(",")).try_cast("double")
     adjusted = F.coalesce(value("adj close"), value("adj_close"), value("close"))
     wide = rows.select(
         "ticker",

@@ -11,11 +11,17 @@ def test_folder_of_csv_files(spark, tmp_path):
     hourly = ["Date,Close,High,Low,Open,Volume", ",BTC,BTC,BTC,BTC,BTC"] + [line(i, 10 + i, 20, 5, 9, 100) for i in range(120)]
     daily = ["Date,Open,High,Low,Close,Volume"] + [line(i, 1, 2, 3, 4, 5) for i in range(150)]
     adjusted = ["Datetime,Open,Adj Close,Close"] + [line(i, 1, 7.5, 8) for i in range(110)] + ["not a date,1,2,3"]
+    quoted = ['"Date","Open","High","Low","Close","Volume"'] + [line(i, '"1,234.5"', 2, 1, '" 1,000 "', '"closed"') for i in range(101)]
+    (tmp_path / "Q.csv").write_text("\n".join(quoted) + "\n")
+    (tmp_path / "notes.csv").write_text("a,b\n1,the close of day\n")
     short = ["Date,Open,High,Low,Close,Volume"] + [line(i, 1, 2, 3, 4, 5) for i in range(20)]
     for name, rows in {"BTC-USD_1h": hourly, "BTC-USD": daily, "AAPL": adjusted, "X": short}.items():
         (tmp_path / f"{name}.csv").write_text("\n".join(rows) + "\n")
     got = files.read_ohlcv_folder(spark, str(tmp_path)).toPandas()
-    assert set(got.ticker) == {"BTC", "AAPL"}
+    assert set(got.ticker) == {"BTC", "AAPL", "Q"}
+    q = got[got.ticker == "Q"]
+    assert len(q) == 101 and (q.open == 1234.5).all() and (q.close == 1000).all() and (q.volume == 0).all()
+    assert [r["file"] for r in files.rejected_files(spark, str(tmp_path)).collect()] == ["notes.csv"]
     btc = got[got.ticker == "BTC"].sort_values("ts")
     assert len(btc) == 120 and str(btc.ts.iloc[0]) == "2024-01-01 05:00:00"
     assert (btc.close.iloc[3], btc.open.iloc[3], btc.high.iloc[3]) == (13, 9, 20)
