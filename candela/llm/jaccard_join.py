@@ -20,7 +20,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.llm.columns import packed, quoted, unpacked
@@ -162,10 +162,11 @@ def coarse_pairs(docs: DataFrame, total: int) -> DataFrame:
     rows = shingle_rows(docs, bits).repartition("shingle").sortWithinPartitions("shingle", "node")
     shared = rows.mapInArrow(_shared, "shingle long, node long, n int, held int")
     ordered = shared.repartition("node").sortWithinPartitions("node", "held", "shingle")
-    prefixes = ordered.mapInArrow(_prefixes, "shingle long, node long")
-    first = F.min("node").over(Window.partitionBy("shingle"))
-    pairs = prefixes.select("node", first.alias("first")).filter("node <> first")
-    return pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    prefixes = checkpointed(ordered.mapInArrow(_prefixes, "shingle long, node long"))
+    # A shingle of many nodes is a skewed key of this join, which the planner can split; its least node is a sum with map-side combine.
+    least = prefixes.groupBy("shingle").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    pairs = prefixes.join(least.select("shingle", "b"), "shingle").filter("node <> b")
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
