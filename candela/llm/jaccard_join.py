@@ -34,7 +34,7 @@ CLASSES = 256  # coordinates of a set's point
 LEAF = 16  # points in a leaf, and boxes in a node, of the tree
 BLOCK_SETS, BLOCK_SHINGLES = 500, 2_000_000  # size of a block of a coarse group
 LONGEST_RUN = 1_000_000  # a shingle held by more nodes counts as held by so many, which matters for the order only
-SMALL = 500_000  # so many node numbers (4 MB) are broadcast rather than shuffled against the texts
+SMALL = 500_000  # so many node numbers (some 25 MB) are broadcast; beyond, texts and nodes are both shuffled
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
