@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.catalog.base import B, D, query, r, shown, with_ctes
 from candela.catalog.evaluation import R, daily_returns
-from candela.operators import panel, portfolio
+from candela.operators import metrics, panel, portfolio, trailing
 from candela.operators.timeline import number
 from candela.plans import backtest
 from candela.session import checkpointed
@@ -57,6 +57,13 @@ def windows(spark, folder):
     return panel.window_returns(bars, days_of(bars))
 
 
+def facts_of(spark, folder, logs: bool = False):
+    """The facts of each day's trailing year and its price rows."""
+    bars = number(trade_bars(spark, folder), step=DAY)
+    facts, price_rows = trailing.window_facts(bars, days_of(bars), logs=logs)
+    return checkpointed(facts), price_rows
+
+
 @query("latest_signal_per_day", with_ctes(
     B,
     "sg AS (SELECT ticker, ts, close AS x FROM b WHERE pos % 30 = 0), dy AS (SELECT DISTINCT ts::DATE AS date FROM b), tk AS (SELECT DISTINCT ticker FROM sg)",
@@ -169,8 +176,8 @@ def threshold_rebalance_walk(spark, folder):
       CASE WHEN regime = 'bull' THEN 'Kelly' WHEN regime IN ('bear', 'crisis') THEN 'HRP' ELSE 'Black-Litterman' END AS optimizer FROM rg""",
 ))
 def market_regime(spark, folder):
-    rows, price_rows = windows(spark, folder)
-    facts = portfolio.regime(portfolio.regime_facts(portfolio.window_facts(rows), price_rows))
+    facts, price_rows = facts_of(spark, folder)
+    facts = portfolio.regime(portfolio.regime_facts(facts, price_rows))
     return shown(facts.withColumn("optimizer", portfolio.optimizer_for("regime")), 5)
 
 
@@ -200,15 +207,18 @@ def capped_weights(spark, folder):
     "SELECT date::DATE AS date, ticker, round(w[i], 5) + 0.0 AS weight FROM ce JOIN nm USING (date)", recursive=True,
 ))
 def kelly_weights(spark, folder):
-    facts = portfolio.own_facts(windows(spark, folder)[0])
+    facts = portfolio.kelly_facts(facts_of(spark, folder)[0])
     strength = panel.latest_on_day(signals(spark, folder), days_of(trade_bars(spark, folder)), ["signal_strength"])
     return shown(portfolio.kelly_weights(facts, strength.withColumnRenamed("signal_strength", "strength"), cap=0.45), 5)
 
 
+def matrices(facts):
+    return metrics.mirrored(facts.select("date", "a", "b", "cov", "corr", "rows"), ["date"])
+
+
 def _moments(spark, folder):
-    rows, _ = windows(spark, folder)
     strength = panel.latest_on_day(signals(spark, folder), days_of(trade_bars(spark, folder)), ["signal_strength"])
-    return panel.cell_moments(rows), strength.withColumnRenamed("signal_strength", "strength")
+    return matrices(facts_of(spark, folder)[0]), strength.withColumnRenamed("signal_strength", "strength")
 
 
 @query("hrp_weights")
@@ -224,17 +234,15 @@ def black_litterman_weights(spark, folder):
 @query("mean_variance_weights")
 def mean_variance_weights(spark, folder):
     """Mean-variance weights of each trailing year, starting from equal weights."""
-    rows, _ = windows(spark, folder)
-    means = panel.unpacked(rows).groupBy("date", "ticker").agg(F.avg("ret").alias("mu")).withColumn("previous", F.lit(1.0 / 3.0))
-    return portfolio.mean_variance_weights(panel.cell_moments(rows), means)
+    facts, _ = facts_of(spark, folder)
+    means = facts.filter("a = b").select("date", F.col("a").alias("ticker"), F.col("mean").alias("mu")).withColumn("previous", F.lit(1.0 / 3.0))
+    return portfolio.mean_variance_weights(matrices(facts), means)
 
 
 @query("risk_parity_weights")
 def risk_parity_weights(spark, folder):
     """Hierarchical risk parity on log returns of each trailing year, without tilt or cap."""
-    rows, _ = windows(spark, folder)
-    logs = F.transform("cells", lambda c: F.struct(c["ticker"].alias("ticker"), F.ln(1 + c["ret"]).alias("ret")))
-    moments = panel.cell_moments(rows.withColumn("cells", logs))
+    moments = matrices(facts_of(spark, folder, logs=True)[0])
     return portfolio.plain_hrp_weights(moments, moments.select("date", F.col("a").alias("ticker")).distinct(), linkage="average")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candela.operators import cleaning, metrics, panel, portfolio
+from candela.operators import cleaning, metrics, panel, portfolio, trailing
 from candela.session import checkpointed
 
 
@@ -37,12 +37,12 @@ def daily_weights(bars: DataFrame, signals: DataFrame, days: DataFrame, profiles
     ``signals(date, ticker, strength)`` holds the latest signal known on each day. Windows, regimes and
     moments do not depend on the profile and are made once.
     """
-    rows, price_rows = panel.window_returns(bars, days, until=until)
+    facts, price_rows = trailing.window_facts(bars, days, until=until)
     known = signals.groupBy("date").agg(F.count(F.lit(1)).alias("_known"))
     ready = price_rows.filter((F.col("n_tickers") >= 2) & (F.col("price_rows") >= 30)).join(
         known.filter(F.col("_known") >= 2).select("date"), "date", "left_semi"
     )
-    facts = checkpointed(portfolio.window_facts(rows))
+    facts = checkpointed(facts)
     states = portfolio.regime(portfolio.regime_facts(facts, ready))
     states = checkpointed(states.select("date", "regime", portfolio.optimizer_for("regime").alias("optimizer")))
     of = lambda df, name: df.join(states.filter(F.col("optimizer") == name).select("date"), "date", "left_semi")

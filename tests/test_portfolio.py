@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from candela.operators import metrics, panel, portfolio
+from candela.operators import metrics, panel, portfolio, trailing
 from candela.plans import backtest
 
 
@@ -176,6 +176,28 @@ def test_window_returns_match_slices(spark):
             np.testing.assert_allclose(table.to_numpy(), want[table.columns].to_numpy(), rtol=1e-9)
 
 
+@pytest.mark.parametrize("broken", [False, True])
+def test_running_sums_give_the_windows_facts(spark, broken):
+    """The same facts as from the rows of each window; with a zero price, returns are missing in some windows."""
+    pdf, bars = prices(spark)
+    if broken:
+        hole = (F.col("ticker") == "t0") & (F.col("ts") == F.lit("2024-02-15").cast("timestamp"))
+        bars = bars.withColumn("close", F.when(hole, 0.0).otherwise(F.col("close")))
+    days = bars.select(F.to_date("ts").alias("date")).distinct()
+    rows, price_rows = panel.window_returns(bars, days, span_days=40, at_least=20, block=16)
+    want = portfolio.window_facts(rows, 9).toPandas().set_index(["date", "a", "b"]).sort_index()
+    facts, priced = trailing.window_facts(bars, days, span_days=40, at_least=20, recent=9, block=16)
+    got = facts.toPandas().set_index(["date", "a", "b"]).sort_index()
+    assert got.index.equals(want.index) and len(got) > 100
+    for c in ("rows", "mean", "cov", "corr", "late_corr", "late_mean", "late_std", "std"):
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-8, atol=1e-12, err_msg=c)
+    own = got.index.get_level_values("a") == got.index.get_level_values("b")
+    for c in ("win_rate", "avg_gain", "avg_loss"):
+        np.testing.assert_allclose(got[c][own].to_numpy(float), want[c][own].to_numpy(float), rtol=1e-8, err_msg=c)
+    key = lambda d: sorted(tuple(r) for r in d.select("date", "n_tickers", "price_rows").collect())
+    assert key(priced) == key(price_rows)
+
+
 def test_moments_match_numpy(spark):
     pdf, bars = prices(spark)
     rets = metrics.simple_returns(bars, ["ticker"], block=16)
