@@ -164,7 +164,8 @@ def coarse_pairs(docs: DataFrame, total: int) -> DataFrame:
     ordered = shared.repartition("node").sortWithinPartitions("node", "held", "shingle")
     prefixes = checkpointed(ordered.mapInArrow(_prefixes, "shingle long, node long"))
     # A shingle of many nodes is a skewed key of this join, which the planner can split; its least node is a sum with map-side combine.
-    least = prefixes.groupBy("shingle").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # Written first, so that both sides of the join are shuffled for it alone.
+    least = checkpointed(prefixes.groupBy("shingle").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
     pairs = prefixes.join(least.select("shingle", "b"), "shingle").filter("node <> b")
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
