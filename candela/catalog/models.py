@@ -194,7 +194,13 @@ def signals_from_probabilities(spark, folder):
     return shown(training.signals_from(rows))
 
 
-@query("sampled_parameter_grid")
+@query("sampled_parameter_grid", with_ctes(
+    B,
+    "nb AS (SELECT ticker, count(*) AS n_bars FROM b GROUP BY 1)",
+    """gr AS (SELECT '{"max_depth": ' || coalesce(d, 'null') || ', "max_features": "' || f || '", "min_samples_leaf": ' || l || ', "min_samples_split": ' || s || ', "n_estimators": ' || n || '}' AS params
+      FROM (VALUES ('3'), ('5'), ('7'), (NULL)) a(d), (VALUES ('sqrt'), ('log2')) c(f), (VALUES (1), (2), (4)) e(l), (VALUES (2), (5), (10)) g(s), (VALUES (100), (200), (300)) h(n))""",
+    "SELECT ticker, n_bars, params FROM nb CROSS JOIN (SELECT params FROM gr ORDER BY md5('42:' || params) LIMIT 20)",
+))
 def sampled_parameter_grid(spark, folder):
     """Twenty combinations of the forest grid drawn by hash, for each ticker's bars."""
     import json

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 
@@ -54,5 +55,10 @@ def test_entry(spark):
 
 def test_feature_table(spark, small):
     out = queries()["feature_table"](spark, small)
-    assert "4h_adx_14" not in out.columns or out.columns
-    assert len(out.columns) > 40 and out.count() > 800
+    names = out.columns
+    assert any("adx" in c for c in names) and any(c.startswith("4h_") for c in names) and any(c.endswith("__zscore") for c in names)
+    assert not any("smooth" in c and "zscore" in c for c in names)
+    assert len(names) == len(set(names)) > 40 and out.count() > 800
+    # Columns with more than half of their values missing were dropped.
+    filled = out.agg(*[F.avg(F.col(f"`{c}`").isNotNull().cast("int")).alias(c) for c in names]).first()
+    assert min(filled) >= 0.5
