@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.operators.metrics import mirrored
 from candela.operators.timeline import BLOCK, bounded, number, running
 from candela.session import checkpointed
 
@@ -126,19 +125,6 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("date", "ts", F.explode("cells").alias("_c")).select("date", "ts", "_c.*")
 
 
-def cell_moments(rows: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
-    """Covariance and correlation of every ordered pair of tickers per group of packed rows."""
-    a = rows.select(*keys, "cells", F.explode("cells").alias("_a"))
-    later = F.filter("cells", lambda c: c["ticker"] >= F.col("_a.ticker"))
-    both = a.select(*keys, "_a", F.explode(later).alias("_b"))
-    x, y = F.col("_a.ret"), F.col("_b.ret")
-    cov = F.covar_samp(x, y)
-    half = both.groupBy(*keys, F.col("_a.ticker").alias("a"), F.col("_b.ticker").alias("b")).agg(
-        cov.alias("cov"), F.try_divide(cov, F.stddev_samp(x) * F.stddev_samp(y)).alias("corr"), F.count(F.lit(1)).alias("rows")
-    )
-    return mirrored(half, keys)
-
-
 def spread_weights(weights: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weights for the whole universe (0 where absent), brought back to sum 1 per group. Tickers outside the universe have no weight."""
     keys = list(keys)
