@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from candela.llm.columns import packed, quoted, unpacked
 from candela.llm.hashing import mixed, portions, shingle_hashes, word_hashes
 from candela.llm.registry import query, table
-from candela.session import checkpointed
+from candela.session import checkpointed, discard
 
 WORDS = 5
 NEEDED, OF = 80, 100  # link: OF * intersection >= NEEDED * union
@@ -154,7 +154,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coarse_pairs(docs: DataFrame, total: int) -> DataFrame:
-    """``a``, ``b``: each node with the least node that has one of its prefix shingles. ``total``: how many shingles all sets hold.
+    """``a``, ``b``: each node with the least node that has one of its prefix shingles, as a stored table. ``total``: how many shingles all sets hold.
 
     Shingles are cut to a few bits more than their number needs; a clash of two can only add a candidate.
     """
@@ -167,7 +167,9 @@ def coarse_pairs(docs: DataFrame, total: int) -> DataFrame:
     # Written first, so that both sides of the join are shuffled for it alone.
     least = checkpointed(prefixes.groupBy("shingle").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
     pairs = prefixes.join(least.select("shingle", "b"), "shingle").filter("node <> b")
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    stored = checkpointed(pairs.select(F.col("node").alias("a"), "b").distinct())
+    discard(prefixes, least)
+    return stored
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -177,16 +179,20 @@ def components(pairs: DataFrame) -> DataFrame:
     rounds are written to the shared folder.
     """
     both = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
+    known = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    changed = True
+    while changed:
+        labels = known.select("node", "label")
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(seen, labels.node == seen.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = lower.join(above, "label").select("node", "old", F.least("label", "above").alias("label"))
         made = checkpointed(jumped)
-        if not made.filter("label <> old").limit(1).count():
-            return made.select("node", "label")
-        labels = made.select("node", "label")
+        changed = made.filter("label <> old").limit(1).count() > 0
+        discard(known)
+        known = made
+    discard(both)
+    return known.select("node", "label")
 
 
 class CountTree:
@@ -287,7 +293,7 @@ def _task_forest(rows: pa.Table) -> pa.Table:
 
 
 def links(docs: DataFrame, keyed: DataFrame, coarse: DataFrame) -> DataFrame:
-    """``a``, ``b``: links that join all nodes of each group, from the coarse groups (node, label) and the texts of their nodes."""
+    """``a``, ``b``, as a stored table: links that join all nodes of each group, from the coarse groups (node, label) and the texts of their nodes."""
     need = keyed.join(coarse, "node").groupBy("node", "label").agg(F.min("_id").alias("_rep"), F.first("n_shingles").alias("n"))
     need = checkpointed(need)
     sizes = need.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
@@ -307,7 +313,10 @@ def links(docs: DataFrame, keyed: DataFrame, coarse: DataFrame) -> DataFrame:
         tasks = F.broadcast(tasks)
     texts = docs.select("_id", "_text").join(tasks, F.col("_id").eqNullSafe(F.col("_rep")))
     keys = ["_task", "_i", "_j"]
-    return texts.select(*keys, "label", "node", "block", "_text").groupBy(*keys).applyInArrow(_task_forest, "a long, b long")
+    found = texts.select(*keys, "label", "node", "block", "_text").groupBy(*keys).applyInArrow(_task_forest, "a long, b long")
+    stored = checkpointed(found)
+    discard(need)
+    return stored
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,10 +333,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     keyed = checkpointed(keyed_sets(rows))
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     arrow_batches(spark, 8192)
-    pairs = checkpointed(coarse_pairs(rows, total))
+    pairs = coarse_pairs(rows, total)
     coarse = components(pairs)
-    joined = checkpointed(links(rows, keyed, coarse))
+    joined = links(rows, keyed, coarse)
     labels = components(joined)
+    discard(pairs, joined)
     nodes = keyed.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_least"))
     grouped = nodes.join(labels, "node", "left").select("node", "_least", F.coalesce("label", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("_least").alias("component_id"))
