@@ -15,6 +15,7 @@ Two documents link when the shingle sets' intersection holds at least 80 % of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from math import ceil, log2
 
 import numpy as np
@@ -33,7 +34,7 @@ NEEDED, OF = 80, 100  # link: OF * intersection >= NEEDED * union
 CLASSES = 256  # coordinates of a set's point
 LEAF = 16  # points in a leaf, and boxes in a node, of the tree
 BLOCK_SETS, BLOCK_SHINGLES = 500, 2_000_000  # size of a block of a coarse group
-LONGEST_RUN = 1_000_000  # a shingle held by more nodes counts as held by so many, which matters for the order only
+LONGEST_RUN = 1_000_000  # a shingle of more nodes counts as held by so many in all its rows: the order stays common to all sets
 SMALL = 500_000  # so many node numbers (some 25 MB) are broadcast; beyond, texts and nodes are both shuffled
 
 
@@ -106,8 +107,24 @@ def shingle_rows(docs: DataFrame, bits: int) -> DataFrame:
     return made.select(F.explode("shingles").alias("shingle"), "node", "n")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted batches regrouped so that no run of equal keys is cut, except runs beyond LONGEST_RUN."""
+def _distinct(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """Sorted batches without the rows that equal the row before them in the keys, be it in an earlier batch."""
+    last: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        new[0] = last is None or any(v[0] != x for v, x in zip(values, last, strict=True))
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        last = [v[-1] for v in values]
+        yield batch.filter(pa.array(new))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str, longest: int | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches regrouped so that no run of equal keys is cut. With ``longest``, a run of more rows comes in several parts, the
+    first of which has at least so many rows."""
     held: dict[str, list[np.ndarray]] = {}
     for batch in batches:
         if not batch.num_rows:
@@ -115,7 +132,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.
         for name in batch.schema.names:
             held.setdefault(name, []).append(batch.column(name).to_numpy(zero_copy_only=False))
         last = held[key][-1]
-        if last[0] == last[-1] and held[key][0][0] == last[-1] and sum(map(len, held[key])) < LONGEST_RUN:
+        if last[0] == last[-1] and held[key][0][0] == last[-1] and (longest is None or sum(map(len, held[key])) < longest):
             continue
         whole = {name: np.concatenate(parts) for name, parts in held.items()}
         cut = int(np.searchsorted(whole[key], whole[key][-1]))
@@ -126,24 +143,32 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.
         yield {name: np.concatenate(parts) for name, parts in held.items()}
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle and node: each (shingle, node) once with ``held``, how many nodes hold the shingle, if two or more do."""
-    for run in _runs(batches, "shingle"):
-        s, node = run["shingle"], run["node"]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
-        s, node, n = s[new], node[new], run["n"][new]
+def _shared(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle and node: each (shingle, node) once with ``held``, how many nodes hold the shingle, if two or more do.
+
+    ``held`` is ``longest`` for all rows of a shingle that so many nodes or more hold, so that every node orders a shingle alike.
+    """
+    common = None  # the last shingle of the part before, if it is held by the longest number: its other nodes may follow
+    for run in _runs(_distinct(batches, "shingle", "node"), "shingle", longest):
+        s, node, n = run["shingle"], run["node"], run["n"]
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        held = np.diff(np.concatenate([starts, [len(s)]]))
-        held = np.repeat(held, held)
+        rows = np.diff(np.concatenate([starts, [len(s)]]))
+        held = np.minimum(rows, longest)
+        if s[0] == common:
+            held[0] = longest
+        common = s[-1] if held[-1] == longest else None
+        held = np.repeat(held, rows)
         keep = held >= 2
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (s, node, n)] + [pa.array(np.minimum(held[keep], LONGEST_RUN).astype(np.int32))],
+            [pa.array(x[keep]) for x in (s, node, n)] + [pa.array(held[keep].astype(np.int32))],
             names=["shingle", "node", "n", "held"],
         )
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by node, ``held`` and shingle: those in the node's prefix. Shingles of its own, which have no row, come first."""
+    """Of rows sorted by node, ``held`` and shingle: those in the node's prefix. Shingles of its own, which have no row, come first.
+
+    A node's rows are never cut: they are at most the set of one text, which was held whole to make them."""
     for run in _runs(batches, "node"):
         node, n = run["node"], run["n"].astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
@@ -160,7 +185,7 @@ def coarse_pairs(docs: DataFrame, total: int) -> DataFrame:
     """
     bits = min(64, ceil(log2(max(total, 2))) + 12)
     rows = shingle_rows(docs, bits).repartition("shingle").sortWithinPartitions("shingle", "node")
-    shared = rows.mapInArrow(_shared, "shingle long, node long, n int, held int")
+    shared = rows.mapInArrow(partial(_shared, longest=LONGEST_RUN), "shingle long, node long, n int, held int")
     ordered = shared.repartition("node").sortWithinPartitions("node", "held", "shingle")
     prefixes = checkpointed(ordered.mapInArrow(_prefixes, "shingle long, node long"))
     # A shingle of many nodes is a skewed key of this join, which the planner can split; its least node is a sum with map-side combine.

@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,31 @@ def test_groups_against_brute_force(frame, monkeypatch, blocks):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("longest", [2, 3])
+def test_common_shingles_against_brute_force(frame, monkeypatch, longest):
+    monkeypatch.setattr(jaccard_join, "LONGEST_RUN", longest)
+    rows = made_texts(random.Random(21), 6, 20)
+    rows += [(1000 + k, t) for k, t in rows[::3]]
+    got = jaccard_join.near_groups(frame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_long_runs_keep_one_order(size):
+    # Shingle 1: nodes 0 to 6, twice each; 2: two nodes; 3: one node in many copies; 4: seven nodes.
+    rows = [(1, k // 2) for k in range(14)] + [(2, 5), (2, 9)] + [(3, 4)] * 9 + [(4, k) for k in range(7)]
+    table = pa.table({"shingle": [s for s, _ in rows], "node": [n for _, n in rows], "n": pa.array([10] * len(rows), pa.int32())})
+    for longest in (3, 7, 100):
+        found = pa.Table.from_batches(jaccard_join._shared(iter(table.to_batches(size)), longest)).to_pylist()
+        held = {1: min(7, longest), 2: 2, 4: min(7, longest)}
+        want = [(s, n, held[s]) for s, n in sorted(set(rows)) if s in held]
+        assert [(r["shingle"], r["node"], r["held"]) for r in found] == want
+    # Six shared shingles of six are a prefix of two; three of ten come after seven of the node's own, which fill it.
+    one = pa.table({"shingle": list(range(9)), "node": [7] * 6 + [8] * 3, "n": pa.array([6] * 6 + [10] * 3, pa.int32())})
+    found = pa.Table.from_batches(jaccard_join._prefixes(iter(one.to_batches(size))))
+    assert found.to_pylist() == [{"shingle": 0, "node": 7}, {"shingle": 1, "node": 7}]
+
+
 def test_groups_of_given_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     got = QUERIES["op6_jaccard_join"](spark, small).collect()
