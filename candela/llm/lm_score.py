@@ -1,8 +1,9 @@
 """Language-model scores by cross-entropy difference: how much better a target model predicts a text than a background model.
 
 Both are bigram models with the same vocabulary, the same bigrams and the same smoothing; only the counts differ. Counts come from all
-rows by distributed sums. What every task needs for scoring is bounded by proof: the vocabulary keeps words whose share of all tokens
-is at least a threshold, and likewise bigrams, so neither can hold more than one over the threshold.
+rows by distributed sums. ``score_against`` uses all words and bigrams: the common ones, whose number is bounded by their share, go to
+every task, and the others are joined. ``fit`` makes a small model to keep: its vocabulary holds words whose share of all tokens is at
+least a threshold, and likewise bigrams, so neither can hold more than one over the threshold.
 """
 
 from __future__ import annotations
@@ -10,17 +11,22 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.columns import packed, quoted, unpacked
+from candela.llm.columns import ROW, packed, quoted, unpacked
+from candela.llm.hashing import portions, word_hashes
 from candela.llm.language import small_batches
 from candela.llm.registry import query, table
+from candela.session import checkpointed
 
 WORD_SHARE, PAIR_SHARE = 2e-5, 1e-5  # at most 50 000 words and 100 000 bigrams
+COUNTED_AT_ONCE = 2_000_000  # tokens whose bigrams a task sums before it hands them on
 PRIOR = 5.0  # weight of the unigram model in each bigram's distribution
 RESULTS = ["n_tokens", "target_loss", "background_loss", "score"]
 SCHEMA = "n_tokens long, target_loss double, background_loss double, score double"
@@ -165,10 +171,163 @@ def score(docs: DataFrame, model: MatchedModels, text: str = "text") -> DataFram
     return unpacked(rows.select("*", "found.*"), docs.columns, RESULTS)
 
 
+def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of the texts in turn: the hash of the token before (0: none in its text), its own, the code of both, and for each
+    text the index of its first token, with the total at the end."""
+    words, at = word_hashes([" ".join(tokens(t)) for t in texts], lower=False)
+    before = np.zeros_like(words)
+    before[1:] = words[:-1]
+    before[at[:-1][np.diff(at) > 0]] = 0
+    return before, words, before ^ (words << np.uint64(1) | words >> np.uint64(63)), at
+
+
+def _summed_bigrams(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    word, code, t, b = (np.concatenate(v) for v in zip(*found, strict=True))
+    code, first, place = np.unique(code, return_index=True, return_inverse=True)
+    counts = [np.bincount(place, weights=side, minlength=len(code)).astype(np.int64) for side in (t, b)]
+    columns = [x.view(np.int64) for x in (code, word[first])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, *counts)], names=["code", "word", "t", "b"])
+
+
+def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, size = [], 0
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        sides = [np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("t", "b")]
+        for part in portions(texts):
+            _, word, code, at = bigrams(texts[part])
+            found.append((word, code, *[np.repeat(side[part], np.diff(at)) for side in sides]))
+            size += len(code)
+            if size >= COUNTED_AT_ONCE:
+                yield _summed_bigrams(found)
+                found, size = [], 0
+    if size:
+        yield _summed_bigrams(found)
+
+
+def bigram_losses(
+    docs: DataFrame, target: DataFrame, background: DataFrame, text: str = "text", prior: float = PRIOR, share: float = PAIR_SHARE
+) -> DataFrame:
+    """``code``, ``t_loss``, ``b_loss`` and ``often`` (holds ``share`` of a side's tokens) of every bigram in the three tables. No word or
+    bigram is left out; a pair that only ``docs`` has is scored by its words."""
+    body = F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")
+    sides = [(background, 0, 1), (target, 1, 0)] + ([] if docs is background else [(docs, 0, 0)])
+    parts = [df.select(body, F.lit(t).cast("long").alias("t"), F.lit(b).cast("long").alias("b")) for df, t, b in sides]
+    counted = reduce(DataFrame.unionByName, parts).mapInArrow(_count_bigrams, "code long, word long, t long, b long")
+    facts = checkpointed(counted.groupBy("code").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("t", "b")]))
+    # The code is the token before, XOR the word turned by a bit.
+    turned = F.shiftleft("word", 1).bitwiseOR(F.shiftrightunsigned("word", 63))
+    facts = facts.withColumn("before", F.col("code").bitwiseXOR(turned))
+    # Every token has one before it or the start: the sums over a word's bigrams are the counts of the word.
+    words = checkpointed(facts.groupBy("word").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")))
+    firsts = checkpointed(facts.groupBy("before").agg(F.sum("t").alias("ft"), F.sum("b").alias("fb")))
+    n, *totals = words.agg(
+        F.count(F.when(F.col("wt") + F.col("wb") > 0, 1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("wt", "wb")]
+    ).first()
+
+    def loss(side: str, total: int) -> Column:
+        alone = (F.col(f"w{side}") + 1) / F.lit(float(total + n + 1))
+        return -F.log((F.col(side) + F.lit(prior) * alone) / (F.col(f"f{side}") + F.lit(prior)))
+
+    often = [F.col(side) >= F.lit(share * max(total, 1)) for side, total in zip("tb", totals, strict=True)]
+    losses = [loss(side, total).alias(f"{side}_loss") for side, total in zip("tb", totals, strict=True)]
+    return facts.join(words, "word").join(firsts, "before").select("code", *losses, (often[0] | often[1]).alias("often"))
+
+
+@dataclass
+class CommonBigrams:
+    """The losses of the bigrams that hold at least some share of a side's tokens: at most two over that share."""
+
+    codes: np.ndarray  # sorted
+    losses: np.ndarray  # (codes, 2)
+
+    def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which codes are here, and their places."""
+        if not len(self.codes):
+            return np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return self.codes[at] == code, at
+
+
+def _rare_bigrams(common: CommonBigrams):
+    """``_key``, ``code`` and ``n`` of each bigram of a text that is not common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = batch.column("_text").to_pylist(), batch.column("_key").to_numpy(zero_copy_only=False)
+            for part in portions(texts):
+                _, _, code, at = bigrams(texts[part])
+                rare = ~common.known(code)[0]
+                code, row = code[rare], np.repeat(np.arange(len(at) - 1), np.diff(at))[rare]
+                order = np.lexsort((code, row))
+                code, row = code[order], row[order]
+                starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else []
+                n = np.diff(np.concatenate([starts, [len(code)]])).astype(np.int32) if len(code) else np.zeros(0, np.int32)
+                starts = np.asarray(starts, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[part][row[starts]]), pa.array(code[starts].view(np.int64)), pa.array(n)], names=["_key", "code", "n"]
+                )
+
+    return run
+
+
+def _common_losses(common: CommonBigrams, text: Column) -> Column:
+    """Tokens of a text, how many of its bigrams are rare, and the sums of the losses of the others."""
+
+    @F.pandas_udf("tokens long, rare long, t double, b double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, rows = batch.tolist(), []
+            for part in portions(texts):
+                _, _, code, at = bigrams(texts[part])
+                hit, place = common.known(code)
+                found = np.zeros((len(code) + 1, 3))
+                found[1:][~hit, 0] = 1
+                if len(common.codes):
+                    found[1:][hit, 1:] = common.losses[place[hit]]
+                sums = np.cumsum(found, axis=0)[at]
+                rows.append(np.column_stack([np.diff(at), np.diff(sums, axis=0)]))
+            made = pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, 4)), columns=["tokens", "rare", "t", "b"])
+            yield made.astype({"tokens": "int64", "rare": "int64"})
+
+    return run(text)
+
+
+def score_against(
+    docs: DataFrame, target: DataFrame, background: DataFrame, text: str = "text", prior: float = PRIOR, share: float = PAIR_SHARE
+) -> DataFrame:
+    """As ``score``, under models of all words and all bigrams of both tables, however rare.
+
+    Bigrams with at least ``share`` of a side's tokens are sent to every task, which can be no more than two over the share. All others
+    are joined, and none of them is a skewed key. Texts are told apart by 64-bit hashes; equal ones share the sums of their losses.
+    """
+    losses = bigram_losses(docs, target, background, text, prior, share)
+    often = losses.filter("often").select("code", "t_loss", "b_loss").toPandas()
+    codes = often["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    common = CommonBigrams(codes[order], often[["t_loss", "b_loss"]].to_numpy(float)[order])
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    key = F.xxhash64(body).alias("_key")
+    rare = docs.select(key, body.alias("_text")).mapInArrow(_rare_bigrams(common), "_key long, code long, n int")
+    met = rare.join(losses.filter("NOT often").select("code", "t_loss", "b_loss"), "code")
+    # Copies of a text add the same again, so the sums are taken a rare bigram.
+    sums = met.groupBy("_key").agg(
+        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("t_loss")).alias("_t"), F.sum(F.col("n") * F.col("b_loss")).alias("_b")
+    ).withColumnRenamed("_key", "_met")
+    rows = packed(docs, key, _common_losses(common, body).alias("found"))
+    rows = rows.select("*", "found.*").join(sums, F.col("_key") == F.col("_met"), "left")
+
+    def mean(side: str) -> Column:
+        others = F.when(F.col("rare") > 0, F.col(f"_{side}") / F.col("_n") * F.col("rare")).otherwise(0.0)
+        return F.when(F.col("tokens") > 0, (F.col(side) + others) / F.col("tokens")).otherwise(0.0)
+
+    made = rows.select(ROW, F.col("tokens").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return unpacked(made.withColumn("score", F.col("target_loss") - F.col("background_loss")), docs.columns, RESULTS)
+
+
 @query("op5_lm_score")
 def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """The target are the benchmark's passages, the background all documents."""
     small_batches(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    model = fit(table(spark, folder, "benchmark"), docs)
-    return score(docs, model).select("doc_id", *RESULTS)
+    return score_against(docs, table(spark, folder, "benchmark"), docs).select("doc_id", *RESULTS)

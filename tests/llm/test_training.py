@@ -51,6 +51,38 @@ def test_lm_score_against_plain_python(frame, odd_documents):
     assert lm_score.score(both[0], empty).filter("isnan(score) OR score <> 0").count() == 0
 
 
+@pytest.mark.parametrize("share", [1e-5, 0.1, 2.0])
+def test_lm_score_uses_every_word(frame, odd_documents, share):
+    target = ["the cat sat", "The cat ran", None]
+    background = ["the dog sat on the mat", "a dog ran", "", "the mat \u00dcber", "a dog ran"]
+    asked = [*background, "the cat sat", "once here", "the the the", " "]
+    kept = [[(t or "").lower().split() for t in side] for side in (target, background)]
+    ones = [Counter(w for t in side for w in t) for side in kept]
+    twos = [Counter(p for t in side for p in zip(["^", *t], t)) for side in kept]
+    n_words = len({*ones[0], *ones[1]})
+
+    def loss(words, side):
+        total = 0.0
+        for a, b in zip(["^", *words], words):
+            alone = (ones[side][b] + 1) / (sum(ones[side].values()) + n_words + 1)
+            first = sum(n for (x, _), n in twos[side].items() if x == a)
+            total -= log((twos[side][(a, b)] + lm_score.PRIOR * alone) / (first + lm_score.PRIOR))
+        return total / len(words) if words else 0.0
+
+    tables = [frame([(t,) for t in side], "text string") for side in (target, background)]
+    docs = frame(list(enumerate(asked)), "k long, text string")
+    for scored, texts in ((lm_score.score_against(docs, *tables, share=share), asked), (lm_score.score_against(tables[1], *tables, share=share), background)):
+        got = sorted((r.text, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in scored.collect())
+        for text, row in zip(sorted(texts), got, strict=True):
+            words = text.lower().split()
+            t, b = loss(words, 0), loss(words, 1)
+            assert row == (text, len(words), pytest.approx(t), pytest.approx(b), pytest.approx(t - b))
+    odd = lm_score.score_against(odd_documents, *tables, share=share)
+    assert odd.count() == odd_documents.count() and odd.columns.count("score") == 1
+    assert odd.filter("text IS NULL AND n_tokens = 0 AND score = 0").count() == 1
+    assert lm_score.score_against(docs.filter("false"), *tables).count() == 0
+
+
 def test_lm_vocabulary_is_bounded(frame):
     texts = frame([(" ".join(f"w{k % 7}" for k in range(50)) + f" rare{j}",) for j in range(20)], "text string")
     assert lm_score.fit(texts, texts, word_share=0.05).words == [f"w{k}" for k in range(7)]
