@@ -35,7 +35,7 @@ CLASSES = 256  # coordinates of a set's point
 LEAF = 16  # points in a leaf, and boxes in a node, of the tree
 BLOCK_SETS, BLOCK_SHINGLES = 500, 2_000_000  # size of a block of a coarse group
 LONGEST_RUN = 1_000_000  # a shingle of more nodes counts as held by so many in all its rows: the order stays common to all sets
-SMALL = 500_000  # so many node numbers (some 25 MB) are broadcast; beyond, texts and nodes are both shuffled
+SMALL = 500_000  # so many rows of tasks (some 25 MB) are broadcast; beyond, texts and nodes are both shuffled
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
@@ -334,7 +334,8 @@ def links(docs: DataFrame, keyed: DataFrame, coarse: DataFrame) -> DataFrame:
         F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "_other")).alias("_i"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "_other")).alias("_j"),
     )
-    if n <= SMALL:
+    copied = sizes.agg(F.sum(F.col("m") * blocks)).first()[0] or 0  # rows of tasks: each node with each block of its group
+    if copied <= SMALL:
         tasks = F.broadcast(tasks)
     texts = docs.select("_id", "_text").join(tasks, F.col("_id").eqNullSafe(F.col("_rep")))
     keys = ["_task", "_i", "_j"]

@@ -180,6 +180,18 @@ def test_long_runs_keep_one_order(size):
     assert found.to_pylist() == [{"shingle": 0, "node": 7}, {"shingle": 1, "node": 7}]
 
 
+@pytest.mark.parametrize("small,sent", [(150, False), (10**6, True)])
+def test_copied_rows_decide_the_broadcast(frame, monkeypatch, small, sent):
+    calls, usual = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: calls.append(df) or usual(df))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rows = made_texts(random.Random(4))
+    got = jaccard_join.near_groups(frame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows)
+    assert len(rows) < 150 and bool(calls) == sent
+
+
 def test_groups_of_given_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     got = QUERIES["op6_jaccard_join"](spark, small).collect()
