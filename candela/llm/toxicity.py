@@ -25,6 +25,7 @@ from candela.llm.registry import held_out, query, table
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST_FUZZY = 5  # shorter terms count only as they are spelled
 STEMS = (4, 5, 6, 7)
+FEWEST_TEXTS = 8  # toxic texts of the sample that must hold a term, however many there are
 KNOWN_WORDS = 200_000
 # Marks that open or close a quotation, and words of reporting or of address.
 QUOTES = "\"“”„«»‘’`"
@@ -249,13 +250,13 @@ def _fitted(learned: DataFrame, terms: int, threshold: float) -> ToxicityModel:
         .agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "n_toxic")])
     )
     lift = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
-    telling = counted.filter((F.col("toxic") >= max(8, 0.02 * toxic)) & (lift >= 5)).withColumn("lift", lift)
+    telling = counted.filter((F.col("toxic") >= FEWEST_TEXTS) & (lift >= 5)).withColumn("lift", lift)
     kinds = {}
     for is_stem in (False, True):
         best = telling.filter(F.col("is_stem") == F.lit(is_stem)).orderBy(F.desc("lift"), "term").limit(terms)
         kinds[is_stem] = {r.term: r for r in best.collect()}
     # A word belongs to the lexicon if it hardly occurs in clean texts; what only stems explain stays with them.
-    words = {t: log(1 + r.lift) for t, r in kinds[False].items() if r.lift >= 40 and len(t) >= 4 and 3 * r.toxic >= r.n_toxic}
+    words = {t: log(1 + r.lift) for t, r in kinds[False].items() if r.lift >= 40 and 3 * r.toxic >= r.n_toxic}
     stems = {
         t: log(r.lift)
         for t, r in kinds[True].items()
@@ -264,8 +265,9 @@ def _fitted(learned: DataFrame, terms: int, threshold: float) -> ToxicityModel:
     stems = {t: w for t, w in stems.items() if not any(o != t and t.startswith(o) for o in stems)}
     words = {t: w for t, w in words.items() if not any(t.startswith(s) for s in stems)}
     model = ToxicityModel(words, stems, frozenset(), threshold=threshold)
+    # Words of the sample's clean texts: no more than the sample holds.
     usual = learned.filter("label = 0").mapInPandas(_near_words(model), "word string").distinct()
-    model = ToxicityModel(words, stems, frozenset(r.word for r in usual.limit(10_000).collect()), threshold=threshold)
+    model = ToxicityModel(words, stems, frozenset(r.word for r in usual.collect()), threshold=threshold)
     rows = learned.mapInPandas(_feature_rows(model), "a double, b double, c double, label int").collect()
     return ToxicityModel(words, stems, model.ordinary, _logistic(np.array(rows, dtype=float)), threshold)
 

@@ -166,6 +166,29 @@ def test_toxicity_without_labels(frame):
     assert not model.words and {r.rejected for r in toxicity.judge(docs, model).collect()} == {False}
 
 
+def test_toxicity_learns_rare_and_short_terms(frame):
+    # 60 terms in 10 of 600 toxic texts each, which is less than 2 % of them; one of them has three letters.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = ["zug"] + [f"q{letters[k // 26]}{letters[k % 26]}xvw" for k in range(59)]
+    rows = [(k, f"plain words here and {terms[k % 60]} again", 1) for k in range(600)]
+    rows += [(1000 + k, "plain words here and nothing else again", 0) for k in range(2400)]
+    docs = frame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs)
+    missed = [t for t in terms if model.find(t) is None]
+    assert missed == [] and "zug" in model.words and model.find("plain") is None
+
+
+def test_toxicity_keeps_all_ordinary_words(frame):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = [f"{letters[k] * 2}{letters[::-1] * 2}" for k in range(8)]
+    near = sorted({t[:k] + c + t[k + cut :] for t in terms for k in range(len(t)) for c in letters for cut in (0, 1)} - set(terms))
+    rows = [(k, f"plain words {terms[k % 8]}", 1) for k in range(160)]
+    rows += [(1000 + k, " ".join(near[k::400]), 0) for k in range(400)]
+    docs = frame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs)
+    assert set(terms) <= set(model.words) and len(near) > 20_000 and set(near) <= model.ordinary
+
+
 def test_toxicity_held_out(spark, small):
     import os
 
