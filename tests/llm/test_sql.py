@@ -18,5 +18,5 @@ def test_query_matches_sql(spark, small, name):
     assert comparable(got) == comparable(want)
 
 
-def test_ten_operators():
-    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+def test_all_operators():
+    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
