@@ -92,7 +92,7 @@ class Fragments:
         """The ids of a whole text."""
         parts = self.cut(text)
         known = self.known
-        new = list(set(parts) - known.keys())
+        new = [f for f in set(parts) if f not in known]  # a difference with the dict's keys would walk all of them
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             made = self.tokenizer.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)
