@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,9 @@ from candela.llm.registry import query, table
 KNOWN = 400_000  # fragments a worker remembers
 LONGEST = 48  # bytes of a fragment that is remembered
 CUT = b"\xff"  # a byte that no UTF-8 text holds
+OLD = "\u024f"  # last character of the blocks whose letters, digits and white space are the same in all versions of Unicode
+# The byte-level pre-splitter's pattern, fixed by the format: contractions, words, numbers, marks, white space.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "ids array<int>, decoded string"
 RESULTS = ["ids", "decoded"]
 
@@ -35,15 +39,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def ranked(made: dict, pieces: dict[int, bytes]) -> bool:
+    """Whether ids rank the merges: bytes come first, then one token a merge, in the merges' order, of two tokens before it.
+
+    Then merging by ids is the same as merging by pairs: when a token's turn comes, what lies between its ends was merged as in that
+    token alone, so it is its own pair.
+    """
+    model = made["model"]
+    if model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    ids, whole = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made_ids = [(ids[a], ids[b], ids[a + b]) for a, b in whole]
+    turns = [t for _, _, t in made_ids]
+    single = sorted(i for i, piece in pieces.items() if len(piece) == 1)
+    longer = {i for i, piece in pieces.items() if len(piece) > 1}
+    added = {t["id"] for t in made["added_tokens"]}
+    return (
+        len(single) == 256 and turns == sorted(set(turns)) and longer - added == set(turns) - added
+        and single[-1] < turns[0] and all(max(a, b) < t for a, b, t in made_ids)
+    )
+
+
 class Fragments:
     """A byte-level tokenizer file with its table of certain cuts, and what its fragments became.
 
     The pre-splitter parts letters, digits, marks and white space, takes one space before a word with it, and knows contractions. A cut
     behind a visible ASCII byte moves none of its splits, but for an apostrophe behind a mark, which must stay with it: alone, it might
     open a contraction. Cuts behind white space could change which space goes with the next word, so they aren't used.
+
+    A short new fragment is merged by ``quick`` if the file's ids rank its merges (``ranked``) and its characters are of blocks that no
+    version of Unicode changes; all others go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -58,6 +87,11 @@ class Fragments:
         self.tokenizer.no_padding()
         letters = byte_letters()
         self.pieces = {i: bytes(letters[c] for c in t) for t, i in made["model"]["vocab"].items()}
+        self.quick = None
+        if ranked(made, self.pieces):
+            listed = {t["id"] for t in made["added_tokens"]}
+            ranks = {piece: i for i, piece in self.pieces.items() if i not in listed}
+            self.quick = tiktoken.Encoding("fragments", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         inside = np.zeros((256, 256), dtype=bool)
         for piece in self.pieces.values():
             pairs = np.frombuffer(piece, dtype=np.uint8)
@@ -92,22 +126,38 @@ class Fragments:
         """The ids of a whole text."""
         parts = self.cut(text)
         known = self.known
-        new = [f for f in set(parts) if f not in known]  # a difference with the dict's keys would walk all of them
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            made = self.tokenizer.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)
-            known.update((f, np.array(e.ids, dtype="<i4").tobytes()) for f, e in zip(some, made, strict=True))
-        ids = np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<i4")
-        full = len(known) > KNOWN + self.fixed
+        found = list(map(known.get, parts))
+        if None in found:
+            new = [f for f in dict.fromkeys(parts) if f not in known]  # a difference with the dict's keys would walk all of them
+            self.learn(new)
+            found = list(map(known.__getitem__, parts))
+            full = len(known) > KNOWN + self.fixed
+            for fragment in new:
+                if full or len(fragment) > LONGEST:
+                    del known[fragment]
+        return np.frombuffer(b"".join(found), dtype="<i4")
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode fragments and remember them."""
+        slow = []
         for fragment in new:
-            if full or len(fragment) > LONGEST:
-                del known[fragment]
-        return ids
+            if self.quick and len(fragment) <= LONGEST and max(body := fragment.decode()) <= OLD:
+                self.known[fragment] = array("i", self.quick.encode_ordinary(body)).tobytes()
+            else:
+                slow.append(fragment)
+        for k in range(0, len(slow), 4096):
+            some = slow[k : k + 4096]
+            made = self.tokenizer.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)
+            self.known.update((f, array("i", e.ids).tobytes()) for f, e in zip(some, made, strict=True))
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that make no character become U+FFFD, ids beyond the vocabulary nothing."""
-        pieces = self.pieces
-        return b"".join([pieces.get(i, b"") for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
+        pieces, ids = self.pieces, ids.tolist() if isinstance(ids, np.ndarray) else ids
+        try:
+            raw = b"".join(map(pieces.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([pieces.get(i, b"") for i in ids])
+        return raw.decode("utf-8", "replace")
 
 
 _FRAGMENTS: dict[str, Fragments] = {}

@@ -172,6 +172,22 @@ def test_no_token_crosses_a_cut(coder):
     assert len(coder.cut("The words of a line, cut apart.")) > 6
 
 
+def test_quick_merges_need_ranked_ids(coder, library):
+    import json
+
+    with open(public_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as file:
+        made = json.load(file)
+    assert bpe.ranked(made, coder.pieces) and coder.quick is not None
+    merges = made["model"]["merges"]
+    made["model"]["merges"] = [merges[1], merges[0], *merges[2:]]
+    assert not bpe.ranked(made, coder.pieces)
+    made["model"]["merges"] = merges[:-1]
+    assert not bpe.ranked(made, coder.pieces)
+    for k in range(0x250):
+        for t in (f"{chr(k)}a", f" {chr(k)}1", f"a {chr(k)}", f"'{chr(k)}'s", f"1{chr(k)}{chr(k)}  "):
+            assert coder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_remembered_fragments_are_bounded(coder, library, monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN", 3)
     small = bpe.Fragments(public_tokenizer("byte_bpe_50k.json"))
