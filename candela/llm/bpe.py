@@ -103,6 +103,11 @@ class Fragments:
         self.certain = self.certain.ravel()
         self.added = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.pieces |= {i: t.encode() for t, i in self.added.items()}
+        lengths = np.zeros(max(self.pieces) + 2, dtype=np.int64)  # the last one stands for ids beyond the vocabulary
+        for i, piece in self.pieces.items():
+            lengths[i] = len(piece)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.bytes = np.frombuffer(b"".join(self.pieces[i] for i in sorted(self.pieces)), dtype=np.uint8)
         names = sorted(self.added, key=len, reverse=True)
         self.parted = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.known: dict[bytes, bytes] = {t.encode(): np.array([i], "<i4").tobytes() for t, i in self.added.items()}
@@ -152,12 +157,12 @@ class Fragments:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that make no character become U+FFFD, ids beyond the vocabulary nothing."""
-        pieces, ids = self.pieces, ids.tolist() if isinstance(ids, np.ndarray) else ids
-        try:
-            raw = b"".join(map(pieces.__getitem__, ids))
-        except KeyError:
-            raw = b"".join([pieces.get(i, b"") for i in ids])
-        return raw.decode("utf-8", "replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        none = len(self.lengths) - 1
+        ids = np.where((ids < 0) | (ids > none), none, ids)
+        n = self.lengths[ids]
+        shift = self.starts[ids] - (np.cumsum(n) - n)  # from a byte's place in the text to its place in the table
+        return self.bytes[np.repeat(shift, n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")
 
 
 _FRAGMENTS: dict[str, Fragments] = {}
@@ -203,7 +208,7 @@ def decoded(ids: Column, tokenizer: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = fragments(tokenizer)
         for rows in batches:
-            yield pa.array([None if r is None else coder.decode(r) for r in rows.to_pylist()], pa.string())
+            yield pa.array([None if r is None else coder.decode([i for i in r if i is not None]) for r in rows.to_pylist()], pa.string())
 
     return run(ids)
 
@@ -214,6 +219,6 @@ def op13_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
