@@ -160,7 +160,7 @@ def model_feature_selection(spark, folder):
     """Greedy choice of features over the folds of all tickers together."""
     rows, folds = model_samples(spark, folder)
     rows = rows.withColumn("ticker", F.lit("all"))
-    folds = splits.walk_forward(rows.select("ticker", "ts", "t1").dropDuplicates(["ts"]), 2, 0.2, 30)
+    folds = splits.walk_forward(rows.groupBy("ticker", "ts").agg(F.max("t1").alias("t1")), 2, 0.2, 30)  # a time ends with its last label
     trace = training.forward_selection(training.fold_rows(rows, folds), FEATURES, params=SMALL)
     return spark.createDataFrame([(t["step"], t["feature"], t["auc"], t["gain"]) for t in trace], "step int, feature string, auc double, gain double")
 
