@@ -1,9 +1,9 @@
 """Language-model scores by cross-entropy difference: how much better a target model predicts a text than a background model.
 
 Both are bigram models with the same vocabulary, the same bigrams and the same smoothing; only the counts differ. Counts come from all
-rows by distributed sums. ``score_against`` uses all words and bigrams: the common ones, whose number is bounded by their share, go to
-every task, and the others are joined. ``fit`` makes a small model to keep: its vocabulary holds words whose share of all tokens is at
-least a threshold, and likewise bigrams, so neither can hold more than one over the threshold.
+rows by distributed sums. ``score_against`` uses all words and bigrams: blocks of texts send theirs out once and get the counts back.
+``fit`` makes a small model to keep: its vocabulary holds words whose share of all tokens is at least a threshold, and likewise bigrams,
+so neither can hold more than one over the threshold.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,14 @@ from candela.llm.columns import ROW, packed, quoted, unpacked
 from candela.llm.hashing import portions, word_hashes
 from candela.llm.language import small_batches
 from candela.llm.registry import query, table
-from candela.session import checkpointed
 
 WORD_SHARE, PAIR_SHARE = 2e-5, 1e-5  # at most 50 000 words and 100 000 bigrams
 COUNTED_AT_ONCE = 2_000_000  # tokens whose bigrams a task sums before it hands them on
+SIDES = ["t", "b", "o"]  # target, background, and only asked for
+BODIES = "bigrams binary, words binary, ids binary, times binary, texts binary"
+_BODIES = [(c.split()[0], pa.binary()) for c in BODIES.split(", ")]
+DEALT = pa.schema([("dealt", pa.int64()), ("block", pa.int64()), ("asked", pa.bool_()), *_BODIES])
+COUNTED = pa.schema([("block", pa.int64()), ("part", pa.int64()), *_BODIES])
 PRIOR = 5.0  # weight of the unigram model in each bigram's distribution
 RESULTS = ["n_tokens", "target_loss", "background_loss", "score"]
 SCHEMA = "n_tokens long, target_loss double, background_loss double, score double"
@@ -171,158 +176,182 @@ def score(docs: DataFrame, model: MatchedModels, text: str = "text") -> DataFram
     return unpacked(rows.select("*", "found.*"), docs.columns, RESULTS)
 
 
-def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of the texts in turn: the hash of the token before (0: none in its text), its own, the code of both, and for each
-    text the index of its first token, with the total at the end."""
-    words, at = word_hashes([" ".join(tokens(t)) for t in texts], lower=False)
-    before = np.zeros_like(words)
-    before[1:] = words[:-1]
-    before[at[:-1][np.diff(at) > 0]] = 0
-    return before, words, before ^ (words << np.uint64(1) | words >> np.uint64(63)), at
+@dataclass
+class Block:
+    """Some texts in turn, with the hashes of all their words."""
+
+    words: np.ndarray
+    n: np.ndarray  # words of each text
+    keys: np.ndarray
+    asked: np.ndarray
+    sides: np.ndarray  # (3, texts): 1 for target, background, or neither
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words, sorted, with 0 for the start; and of all words in turn the places there of the word before and of itself."""
+        words, place = np.unique(np.concatenate([np.zeros(1, np.uint64), self.words]), return_inverse=True)
+        return words, *followed(place[1:], self.n)
+
+
+def followed(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Before each word stands the one at its left, and the start, 0, before the first of a text."""
+    before = np.concatenate([[0], place])[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    return before, place
+
 
+def codes(words: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return words[before] ^ (words << np.uint64(1) | words >> np.uint64(63))[now]
 
-def _summed_bigrams(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    word, code, t, b = (np.concatenate(v) for v in zip(*found, strict=True))
-    code, first, place = np.unique(code, return_index=True, return_inverse=True)
-    counts = [np.bincount(place, weights=side, minlength=len(code)).astype(np.int64) for side in (t, b)]
-    columns = [x.view(np.int64) for x in (code, word[first])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, *counts)], names=["code", "word", "t", "b"])
 
+def blocks(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[Block]:
+    """The texts of a task in blocks of about ``at_once`` words; no text is split."""
+
+    def made() -> Block:
+        words, n, keys, asked, sides = zip(*found, strict=True)
+        return Block(*map(np.concatenate, (words, n, keys, asked)), np.concatenate(sides, axis=1))
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found, size = [], 0
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        sides = [np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("t", "b")]
+        facts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "asked", *SIDES)]
         for part in portions(texts):
-            _, word, code, at = bigrams(texts[part])
-            found.append((word, code, *[np.repeat(side[part], np.diff(at)) for side in sides]))
-            size += len(code)
-            if size >= COUNTED_AT_ONCE:
-                yield _summed_bigrams(found)
+            words, at = word_hashes([" ".join(tokens(t)) for t in texts[part]], lower=False)
+            key, asked, *sides = (f[part] for f in facts)
+            found.append((words, np.diff(at), key, asked, np.array(sides)))
+            size += len(words) + len(key)
+            if size >= at_once:
+                yield made()
                 found, size = [], 0
-    if size:
-        yield _summed_bigrams(found)
+    if found:
+        yield made()
 
 
-def bigram_losses(
-    docs: DataFrame, target: DataFrame, background: DataFrame, text: str = "text", prior: float = PRIOR, share: float = PAIR_SHARE
-) -> DataFrame:
-    """``code``, ``t_loss``, ``b_loss`` and ``often`` (holds ``share`` of a side's tokens) of every bigram in the three tables. No word or
-    bigram is left out; a pair that only ``docs`` has is scored by its words."""
-    body = F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")
-    sides = [(background, 0, 1), (target, 1, 0)] + ([] if docs is background else [(docs, 0, 0)])
-    parts = [df.select(body, F.lit(t).cast("long").alias("t"), F.lit(b).cast("long").alias("b")) for df, t, b in sides]
-    counted = reduce(DataFrame.unionByName, parts).mapInArrow(_count_bigrams, "code long, word long, t long, b long")
-    facts = checkpointed(counted.groupBy("code").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in ("t", "b")]))
-    # The code is the token before, XOR the word turned by a bit.
-    turned = F.shiftleft("word", 1).bitwiseOR(F.shiftrightunsigned("word", 63))
-    facts = facts.withColumn("before", F.col("code").bitwiseXOR(turned))
-    # Every token has one before it or the start: the sums over a word's bigrams are the counts of the word.
-    words = checkpointed(facts.groupBy("word").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")))
-    firsts = checkpointed(facts.groupBy("before").agg(F.sum("t").alias("ft"), F.sum("b").alias("fb")))
-    n, *totals = words.agg(
-        F.count(F.when(F.col("wt") + F.col("wb") > 0, 1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("wt", "wb")]
-    ).first()
-
-    def loss(side: str, total: int) -> Column:
-        alone = (F.col(f"w{side}") + 1) / F.lit(float(total + n + 1))
-        return -F.log((F.col(side) + F.lit(prior) * alone) / (F.col(f"f{side}") + F.lit(prior)))
-
-    often = [F.col(side) >= F.lit(share * max(total, 1)) for side, total in zip("tb", totals, strict=True)]
-    losses = [loss(side, total).alias(f"{side}_loss") for side, total in zip("tb", totals, strict=True)]
-    return facts.join(words, "word").join(firsts, "before").select("code", *losses, (often[0] | often[1]).alias("often"))
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers of one length as compressed bytes, equal places of the bytes side by side."""
+    rows = np.ascontiguousarray(np.array(columns).astype(np.int64).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1))
+    return rows.size.to_bytes(8, "little") + pa.compress(pa.py_buffer(rows), "zstd", asbytes=True)
 
 
-@dataclass
-class CommonBigrams:
-    """The losses of the bigrams that hold at least some share of a side's tokens: at most two over that share."""
+def opened(data: bytes, columns: int) -> np.ndarray:
+    rows = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(rows.reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
 
-    codes: np.ndarray  # sorted
-    losses: np.ndarray  # (codes, 2)
+def steps(values: np.ndarray) -> np.ndarray:
+    """Sorted hashes by what each is over the one before, which is shorter; ``np.cumsum`` undoes it."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.int64)
 
-    def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which codes are here, and their places."""
-        if not len(self.codes):
-            return np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return self.codes[at] == code, at
 
+def sums(places: np.ndarray, weights: np.ndarray, size: int) -> list[np.ndarray]:
+    return [np.bincount(places, weights=w, minlength=size).astype(np.int64) for w in weights]
 
-def _rare_bigrams(common: CommonBigrams):
-    """``_key``, ``code`` and ``n`` of each bigram of a text that is not common."""
 
+def _word_counts(at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = batch.column("_text").to_pylist(), batch.column("_key").to_numpy(zero_copy_only=False)
-            for part in portions(texts):
-                _, _, code, at = bigrams(texts[part])
-                rare = ~common.known(code)[0]
-                code, row = code[rare], np.repeat(np.arange(len(at) - 1), np.diff(at))[rare]
-                order = np.lexsort((code, row))
-                code, row = code[order], row[order]
-                starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else []
-                n = np.diff(np.concatenate([starts, [len(code)]])).astype(np.int32) if len(code) else np.zeros(0, np.int32)
-                starts = np.asarray(starts, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[part][row[starts]]), pa.array(code[starts].view(np.int64)), pa.array(n)], names=["_key", "code", "n"]
-                )
+        for block in blocks(batches, at_once):
+            words, place = np.unique(block.words, return_inverse=True)
+            counts = sums(place, np.repeat(block.sides, block.n, axis=1), len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (words.view(np.int64), *counts)], names=["word", *SIDES])
 
     return run
 
 
-def _common_losses(common: CommonBigrams, text: Column) -> Column:
-    """Tokens of a text, how many of its bigrams are rare, and the sums of the losses of the others."""
+def _dealt(parts: int, at_once: int):
+    """Of each block its distinct bigrams and words with their counts, a row for each part of the range of hashes; and, if it has texts to
+    score, a row of its own with all words in turn, by their rank in the block."""
+    bounds = np.array([-(-k * 2**64 // parts) for k in range(1, parts)], dtype=np.uint64)
 
-    @F.pandas_udf("tokens long, rare long, t double, b double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, rows = batch.tolist(), []
-            for part in portions(texts):
-                _, _, code, at = bigrams(texts[part])
-                hit, place = common.known(code)
-                found = np.zeros((len(code) + 1, 3))
-                found[1:][~hit, 0] = 1
-                if len(common.codes):
-                    found[1:][hit, 1:] = common.losses[place[hit]]
-                sums = np.cumsum(found, axis=0)[at]
-                rows.append(np.column_stack([np.diff(at), np.diff(sums, axis=0)]))
-            made = pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, 4)), columns=["tokens", "rare", "t", "b"])
-            yield made.astype({"tokens": "int64", "rare": "int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, block in enumerate(blocks(batches, at_once)):
+            number, asked = TaskContext.get().partitionId() << 32 | k, bool(block.asked.any())
+            words, before, now = block.bigrams()
+            sides = np.repeat(block.sides[:2], block.n, axis=1)
+            known, place = np.unique(codes(words, before, now), return_inverse=True)
+            held = [(known, sums(place, sides, len(known))), (words, sums(now, sides, len(words)) + sums(before, sides, len(words)))]
+            ends = [[0, *np.searchsorted(keys, bounds), len(keys)] for keys, _ in held]
+            rows = []
+            for part in range(parts):
+                cuts = [slice(e[part], e[part + 1]) for e in ends]
+                if any(c.start < c.stop for c in cuts):
+                    bodies = [squeezed(steps(keys[c]), *(x[c] for x in counts)) for c, (keys, counts) in zip(cuts, held, strict=True)]
+                    rows.append({"dealt": part, "block": number, "asked": asked, "bigrams": bodies[0], "words": bodies[1]})
+            if asked:
+                times = np.bincount(now, minlength=len(words))
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                texts = squeezed(block.n, block.keys, block.asked)
+                rows.append({"dealt": -1 - number, "block": number, "ids": squeezed(rank[now]), "times": squeezed(times), "texts": texts})
+            yield pa.RecordBatch.from_pylist(rows, schema=DEALT)
+
+    return run
 
-    return run(text)
+
+def _counted(group: pa.Table) -> pa.Table:
+    """To each block's bigrams and words of one part of the hashes their counts in all blocks, in the block's order."""
+    if group["dealt"][0].as_py() < 0:
+        return group.append_column("part", pa.array([-1] * len(group), pa.int64())).select(COUNTED.names)
+    rows = group.select(["dealt", "block", "asked", "bigrams", "words"]).to_pylist()
+    out = [{"block": r["block"], "part": r["dealt"]} for r in rows]
+    for name, columns in (("bigrams", 3), ("words", 5)):
+        held = [opened(r[name], columns) for r in rows]
+        keys = [np.cumsum(h[0].view(np.uint64), dtype=np.uint64) for h in held]
+        known, place = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.array(sums(place, np.concatenate([h[1:] for h in held], axis=1), len(known)))
+        firsts = np.cumsum([0, *map(len, keys)])
+        for r, own, start, end in zip(out, held, firsts, firsts[1:]):
+            found = totals[:, place[start:end]]
+            r[name] = squeezed(*found) if name == "bigrams" else squeezed(own[0], *found)
+    return pa.Table.from_pylist([o for o, r in zip(out, rows, strict=True) if r["asked"]], schema=COUNTED)
+
+
+def _block_losses(totals: list[int], n_words: int, prior: float):
+    def run(group: pa.Table) -> pa.Table:
+        own, *parts = group.sort_by("part").to_pylist()
+        counts = np.concatenate([opened(r["bigrams"], 2) for r in parts], axis=1)
+        held = [opened(r["words"], 5) for r in parts]
+        words = np.concatenate([np.cumsum(h[0].view(np.uint64), dtype=np.uint64) for h in held])
+        alone, first = np.split(np.concatenate([h[1:] for h in held], axis=1), 2)
+        n, keys, asked = opened(own["texts"], 3)
+        order = np.argsort(-opened(own["times"], 1)[0], kind="stable")
+        before, now = followed(order[opened(own["ids"], 1)[0]], n)
+        _, index, place = np.unique(codes(words, before, now), return_index=True, return_inverse=True)
+        text, losses = np.repeat(np.arange(len(n)), n), []
+        for seen, one, follows, total in zip(counts, alone, first, totals, strict=True):
+            given = (seen + prior * ((one + 1) / (total + n_words + 1))[now[index]]) / (follows[before[index]] + prior)
+            losses.append(np.bincount(text, weights=-np.log(given)[place], minlength=len(n)) / np.maximum(n, 1))
+        return pa.table([pa.array(x[asked > 0]) for x in (keys, n, *losses)], names=["met", *RESULTS[:3]])
+
+    return run
 
 
 def score_against(
-    docs: DataFrame, target: DataFrame, background: DataFrame, text: str = "text", prior: float = PRIOR, share: float = PAIR_SHARE
-) -> DataFrame:
+    docs: DataFrame, target: DataFrame, background: DataFrame, text: str = "text", prior: float = PRIOR, share: float = PAIR_SHARE,
+    at_once: int = COUNTED_AT_ONCE,
+) -> DataFrame:
     """As ``score``, under models of all words and all bigrams of both tables, however rare.
 
-    Bigrams with at least ``share`` of a side's tokens are sent to every task, which can be no more than two over the share. All others
-    are joined, and none of them is a skewed key. Texts are told apart by 64-bit hashes; equal ones share the sums of their losses.
+    Texts are taken in blocks of about ``at_once`` words. Each block sends its distinct words and bigrams, by hash, to tasks that add up
+    all blocks, and gets back their counts. No key is skewed: a bigram goes out once a block, however often it stands there. A text is
+    never split, so the longest one sets what a task holds. Words, bigrams and texts are told apart by 64-bit hashes. ``share`` is for
+    callers from when common bigrams were sent to every task; it changes nothing.
     """
-    losses = bigram_losses(docs, target, background, text, prior, share)
-    often = losses.filter("often").select("code", "t_loss", "b_loss").toPandas()
-    codes = often["code"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    common = CommonBigrams(codes[order], often[["t_loss", "b_loss"]].to_numpy(float)[order])
-    body = F.coalesce(F.col(quoted(text)), F.lit(""))
-    key = F.xxhash64(body).alias("_key")
-    rare = docs.select(key, body.alias("_text")).mapInArrow(_rare_bigrams(common), "_key long, code long, n int")
-    met = rare.join(losses.filter("NOT often").select("code", "t_loss", "b_loss"), "code")
-    # Copies of a text add the same again, so the sums are taken a rare bigram.
-    sums = met.groupBy("_key").agg(
-        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("t_loss")).alias("_t"), F.sum(F.col("n") * F.col("b_loss")).alias("_b")
-    ).withColumnRenamed("_key", "_met")
-    rows = packed(docs, key, _common_losses(common, body).alias("found"))
-    rows = rows.select("*", "found.*").join(sums, F.col("_key") == F.col("_met"), "left")
-
-    def mean(side: str) -> Column:
-        others = F.when(F.col("rare") > 0, F.col(f"_{side}") / F.col("_n") * F.col("rare")).otherwise(0.0)
-        return F.when(F.col("tokens") > 0, (F.col(side) + others) / F.col("tokens")).otherwise(0.0)
-
-    made = rows.select(ROW, F.col("tokens").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"))
-    return unpacked(made.withColumn("score", F.col("target_loss") - F.col("background_loss")), docs.columns, RESULTS)
+    body = F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")
+    tables = [(target, "t"), (background, "b")] + ([] if docs is background or docs is target else [(docs, "o")])
+    marks = [(df, df is docs, [F.lit(int(s == side)).cast("long").alias(s) for s in SIDES]) for df, side in tables]
+    texts = reduce(DataFrame.unionByName, [df.select(body, F.lit(asked).alias("asked"), *mark) for df, asked, mark in marks])
+    texts = texts.select(F.xxhash64("text").alias("key"), "*")
+    counted = texts.mapInArrow(_word_counts(at_once), "word long, t long, b long, o long")
+    counted = counted.groupBy("word").agg(*[F.sum(s).alias(s) for s in SIDES])
+    n_words, *totals = counted.agg(F.count(F.when(F.col("t") + F.col("b") > 0, 1)), *[F.coalesce(F.sum(s), F.lit(0)) for s in SIDES]).first()
+    parts = max(1, -(-sum(totals) // at_once))
+    dealt = texts.mapInArrow(_dealt(parts, at_once), "dealt long, block long, asked boolean, " + BODIES)
+    known = dealt.groupBy("dealt").applyInArrow(_counted, "block long, part long, " + BODIES)
+    found = known.groupBy("block").applyInArrow(_block_losses(totals[:2], n_words, prior), "met long, " + SCHEMA.rpartition(",")[0])
+    found = found.groupBy("met").agg(*[F.max(c).alias(c) for c in RESULTS[:3]])  # equal texts have equal results
+    rows = packed(docs, F.xxhash64(body).alias("_key")).join(found, F.col("_key") == F.col("met"), "left")
+    made = rows.select(ROW, *RESULTS[:3], (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    return unpacked(made, docs.columns, RESULTS)
 
 
 @query("op5_lm_score")

@@ -1,9 +1,14 @@
 """Language-model scores, chat formatting, packing, mixing and the whole pipeline."""
 
+import json
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from math import ceil, floor, log
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -83,6 +88,73 @@ def test_lm_score_uses_every_word(frame, odd_documents, share):
     assert lm_score.score_against(docs.filter("false"), *tables).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 10_000])
+def test_lm_score_in_blocks_and_parts(frame, at_once):
+    chance = random.Random(5)
+    made = lambda n, words: [" ".join(chance.choice(words) for _ in range(chance.randint(0, 9))) for _ in range(n)]
+    target, background = made(15, "abcd"), [*made(40, "cdefghij"), *["c d \U0001f600 e"] * 20]
+    tables = [frame([(t,) for t in side], "text string") for side in (target, background)]
+    ones = [Counter(w for t in side for w in t.split()) for side in (target, background)]
+    twos = [Counter(p for t in side for p in zip(["^", *t.split()], t.split())) for side in (target, background)]
+    firsts = [Counter({a: sum(n for (x, _), n in side.items() if x == a) for a, _ in side}) for side in twos]
+    n_words = len({*ones[0], *ones[1]})
+
+    def loss(words, k):
+        alone = lambda b: (ones[k][b] + 1) / (ones[k].total() + n_words + 1)
+        given = [(twos[k][a, b] + lm_score.PRIOR * alone(b)) / (firsts[k][a] + lm_score.PRIOR) for a, b in zip(["^", *words], words)]
+        return -sum(map(log, given)) / len(given) if given else 0.0
+
+    asked = ["a b new", *background, ""]
+    cases = [(frame([(t,) for t in asked], "text string"), asked), (tables[1], background), (tables[0], target)]
+    for docs, texts in cases:
+        got = sorted(tuple(r) for r in lm_score.score_against(docs, *tables, at_once=at_once).collect())
+        for text, row in zip(sorted(texts), got, strict=True):
+            t, b = (loss(text.split(), k) for k in (0, 1))
+            assert row == (text, len(text.split()), pytest.approx(t), pytest.approx(b), pytest.approx(t - b))
+
+
+def test_lm_columns_round_trip():
+    for n in (0, 1, 300):
+        hashes = np.sort(np.random.default_rng(n).integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
+        counts = np.arange(n, dtype=np.int64) * -3
+        back = lm_score.opened(lm_score.squeezed(lm_score.steps(hashes), counts), 2)
+        assert (np.cumsum(back[0].view(np.uint64), dtype=np.uint64) == hashes).all() and (back[1] == counts).all()
+
+
+SHUFFLING = """
+import random
+
+from candela.llm import lm_score
+from candela.session import local_session
+
+chance = random.Random(3)
+spark = local_session("4", 4, "candela-shuffle-test")
+rows = [(k, " ".join(f"w{chance.randrange(5000)}" for _ in range(1000))) for k in range(300)]
+texts = spark.createDataFrame(rows, "k long, text string")
+assert len(lm_score.score_against(texts, texts.filter("k < 3"), texts).collect()) == 300
+spark.stop()
+"""
+
+
+def test_lm_score_shuffles_few_bytes_a_word(tmp_path):
+    """Nearly all bigrams differ, as most do in a large corpus; what goes to disk must still be small beside the text."""
+    conf = {
+        "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{tmp_path}", "spark.eventLog.compress": "false",
+        "spark.eventLog.rolling.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.ui.enabled": "false",
+    }
+    args = " ".join(f"--conf {k}={v}" for k, v in conf.items())
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"} | {"PYSPARK_SUBMIT_ARGS": f"{args} pyspark-shell"}
+    env["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parents[2]), env.get("PYTHONPATH", "")])
+    subprocess.run([sys.executable, "-c", SHUFFLING], env=env, check=True, timeout=300)
+    written = 0
+    for log in tmp_path.iterdir():
+        for line in log.open():
+            event = json.loads(line)
+            if event["Event"] == "SparkListenerTaskEnd":
+                written += event["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"]
+    assert 0 < written < 20 * 300_000
+
+
 def test_lm_vocabulary_is_bounded(frame):
     texts = frame([(" ".join(f"w{k % 7}" for k in range(50)) + f" rare{j}",) for j in range(20)], "text string")
     assert lm_score.fit(texts, texts, word_share=0.05).words == [f"w{k}" for k in range(7)]
